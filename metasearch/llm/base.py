@@ -114,7 +114,7 @@ def bloom(keys: DataFrame, key: Column) -> tuple[DataFrame, int]:
     while words < BLOOM_WORDS and words * 64 < 24 * n:
         words *= 2
     bit = F.pmod(key, F.lit(words * 64))
-    return keys.select((bit / 64).cast("long").alias("_w"), F.shiftleft(F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits")), words * 64
+    return keys.select((bit / 64).cast("long").alias("_w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits")), words * 64
 
 
 def bloom_mark(rows: DataFrame, key: Column, filter_: tuple[DataFrame, int], name: str) -> DataFrame:
@@ -124,6 +124,6 @@ def bloom_mark(rows: DataFrame, key: Column, filter_: tuple[DataFrame, int], nam
     return (
         rows.withColumn("_w", (bit / 64).cast("long"))
         .join(F.broadcast(words), "_w", "left")
-        .withColumn(name, F.coalesce(F.shiftrightunsigned("_bits", F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False)))
+        .withColumn(name, F.coalesce(F.call_function("shiftrightunsigned", F.col("_bits"), F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False)))
         .drop("_w", "_bits")
     )

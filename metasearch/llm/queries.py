@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metasearch.llm import decontamination, language_id, licenses, quality_rules, sharding
+from metasearch.llm import decontamination, language_id, licenses, quality_rules, sharding, substring_dedup
 from metasearch.llm.base import documents
 
 
@@ -18,6 +18,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(documents(spark, sf_dir), 40)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -31,7 +35,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op4_sharding, op6_decontamination, op8_quality_rules, op9_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op4_sharding, op5_substring_dedup, op6_decontamination, op8_quality_rules, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
