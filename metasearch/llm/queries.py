@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metasearch.llm import decontamination, language_id, licenses, quality_rules, sharding, substring_dedup, suffix_dedup
+from metasearch.llm import decontamination, jaccard_join, language_id, licenses, quality_rules, sharding, substring_dedup, suffix_dedup
 from metasearch.llm.base import documents
 
 
@@ -14,6 +14,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.ngram_components(documents(spark, sf_dir), 3, 9, 10)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
 
@@ -39,7 +43,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_suffix_dedup, op4_sharding, op5_substring_dedup, op6_decontamination, op8_quality_rules, op9_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_suffix_dedup, op4_sharding, op5_substring_dedup, op6_decontamination, op8_quality_rules, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
