@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metasearch.llm import decontamination, jaccard_join, language_id, licenses, quality_rules, sharding, substring_dedup, suffix_dedup
+from metasearch.llm import bpe, decontamination, jaccard_join, language_id, licenses, quality_rules, sharding, substring_dedup, suffix_dedup
 from metasearch.llm.base import documents
 
 
@@ -42,8 +42,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(documents(spark, sf_dir))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_suffix_dedup, op4_sharding, op5_substring_dedup, op6_decontamination, op8_quality_rules, op9_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_suffix_dedup, op4_sharding, op5_substring_dedup, op6_decontamination, op8_quality_rules, op9_language_id, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
