@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metasearch.llm import bpe, decontamination, jaccard_join, language_id, licenses, quality_rules, sharding, substring_dedup, suffix_dedup
+from metasearch.llm import bpe, decontamination, jaccard_join, language_id, licenses, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
 from metasearch.llm.base import documents
 
 
@@ -34,6 +34,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_suffix_dedup, op4_sharding, op5_substring_dedup, op6_decontamination, op8_quality_rules, op9_language_id, op10_bpe)}
+    return {f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_suffix_dedup, op4_sharding, op5_substring_dedup, op6_decontamination, op7_quality_classifier, op8_quality_rules, op9_language_id, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
