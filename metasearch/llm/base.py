@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Words remembered by one Python worker before its memo starts anew.
 MEMO_WORDS = 400_000
+#: Rows of text in one Arrow batch, unless the session asks for fewer.
+BATCH_ROWS = 1000
 #: Most 64-bit words of a broadcast Bloom filter (16 MB).
 BLOOM_WORDS = 1 << 21
 
@@ -24,8 +26,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def keyed(docs: DataFrame, *more: str) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: fewer rows in an Arrow batch keep the memory of executors and their Python workers low."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def keyed(docs: DataFrame, *more: str | Column) -> DataFrame:
     """doc_id as long, text, and ``_k``, which with doc_id tells rows apart (repeats of a whole row share it)."""
+    small_batches(docs.sparkSession)
     id_ = F.col("doc_id").cast("long")
     return docs.select(id_.alias("doc_id"), F.xxhash64(id_, "text").alias("_k"), "text", *more)
 

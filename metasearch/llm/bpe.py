@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metasearch.llm.base import in_batches, rows_of
+from metasearch.llm.base import in_batches, rows_of, small_batches
 from metasearch.llm.shared import ranges, sha
 
 #: Words, and documents, of a block at most (a document is never split).
@@ -105,6 +105,7 @@ def gathered(flat: np.ndarray, start: np.ndarray, which: np.ndarray) -> np.ndarr
 
 def encoded(docs: DataFrame, path: str, finish: Callable[[np.ndarray, bytes], tuple], schema: pa.Schema, ddl: str) -> DataFrame:
     """One row a document: doc_id and what ``finish`` makes of its ids and of the bytes they decode to."""
+    small_batches(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         own = f.read()
     tokenizer = docs.sparkSession.sparkContext.broadcast(own)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,24 +137,42 @@ class Items:
         return [(self.id[i], *x) for i, x in sorted(best.items())]
 
 
+def item_blocks(benchmark: DataFrame, radius: int, item_words: int) -> Iterator[Broadcast]:
+    """Broadcast tables, each of a bounded block of the items."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-total // (2 * item_words)))  # a word and its gap take two characters at least
+    for k in range(blocks):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        table = Items(sorted((r["item_id"] or 0, r["text"]) for r in rows), radius)
+        yield benchmark.sparkSession.sparkContext.broadcast(cloudpickle.dumps(table))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, item_words: int = ITEM_WORDS) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: the best window of each (document, item) with ``least`` or more.
 
     ``least`` must be above 0.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
-    total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // (2 * item_words)))  # a word and its gap take two characters at least
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())])
 
-    def block(k: int) -> DataFrame:
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Items(sorted((r["item_id"] or 0, r["text"]) for r in rows), radius)))
-
+    def block(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             memo, own = WordHashes(), pickle.loads(shared.value)
             yield from in_batches(((d, *m) for d, t in rows_of(batches, "doc_id", "text") for m in own.matches(memo.of(words_of(t)), least)), schema)
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, item_id bigint, similarity double, first_word bigint, n_words bigint")
 
-    return functools.reduce(DataFrame.unionAll, map(block, range(blocks)))
+    return functools.reduce(DataFrame.unionAll, map(block, item_blocks(benchmark, radius, item_words)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, item_words: int = ITEM_WORDS) -> DataFrame:
+    """The documents that match no item, with all their columns."""
+    for shared in item_blocks(benchmark, radius, item_words):
+
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            memo, own = WordHashes(), pickle.loads(shared.value)
+            for batch in batches:
+                yield batch.filter(pa.array([not own.matches(memo.of(words_of(t)), least) for (t,) in rows_of(iter([batch]), "text")], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -173,7 +173,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """``docs`` with all columns, one document of each component: the one with the smallest id."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("_k"), F.struct("*").alias("_row"))
+    rows = keyed(docs, F.struct("*").alias("_row")).drop("text")
     found = Join(keyed(docs), n, num, den).run()
     gone = cut(found.filter("n_shingles > 0 and not (doc_id <=> component_id)").select("doc_id", "_k").distinct())
     maybe, rest = shared.split_by(rows, gone)
