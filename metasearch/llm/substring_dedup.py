@@ -30,7 +30,7 @@ from metasearch.llm.base import U64, WordHashes, cut, gram_hashes, in_batches, k
 
 WINDOW, GRAM = 13, 5
 #: Bytes of segments that one map task holds before it sends them on.
-HELD = 24 << 20
+HELD = 16 << 20
 NO_ID = -(1 << 63)
 #: Windows searched at a time.
 CHUNK = 1 << 17
@@ -86,8 +86,9 @@ class FMIndex:
         start = self.starts[symbol] - self.base[symbol]
         return start + self._walk(symbol, lo), start + self._walk(symbol, hi)
 
-    def matching_statistics(self, stream: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(length, lo, hi) for each end in ``stream``: the longest match up to ``most`` symbols that ends there, and its interval."""
+    def matching_statistics(self, stream: np.ndarray, ends: np.ndarray, most: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length, lo, hi) for each end in ``stream``: the longest match up to ``most`` symbols that ends there with ``least``
+        occurrences or more, and its interval."""
         lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
         length, going = np.zeros(len(ends), np.int64), np.arange(len(ends))
         for step in range(most):
@@ -95,7 +96,7 @@ class FMIndex:
             symbol = stream[ends[going] - step]
             going, symbol = going[symbol > 0], symbol[symbol > 0]
             a, b = self.extend(symbol, lo[going], hi[going])
-            found = b > a
+            found = b - a >= least
             going = going[found]
             lo[going], hi[going] = a[found], b[found]
             length[going] += 1
@@ -125,14 +126,18 @@ def earlier_windows(segments: list[tuple[bytes, int]], window: int) -> Iterator[
     hit = np.zeros(len(ends), bool)
     for at in range(0, len(ends), CHUNK):
         part = ends[at : at + CHUNK]
-        length, lo, hi = index.matching_statistics(text, part, window)
+        length, lo, hi = index.matching_statistics(text, part, window, 2)
         full = np.flatnonzero(length >= window)
         # intervals of one length never overlap: each is read once, however many windows share it
         each, first, which = np.unique(lo[full], return_index=True, return_inverse=True)
         least = np.minimum.reduceat(id_at, np.stack([each, hi[full][first]], axis=1).ravel())[::2] if len(each) else each
         hit[at + full] = least[which] < ids[owner[part[full]]]
-    for s in np.unique(owner[ends[hit]]):
-        yield int(s), inside[ends[hit & (owner[ends] == s)]] - window + 1
+    ends = ends[hit]
+    if not len(ends):
+        return
+    first = np.flatnonzero(np.concatenate([[True], owner[ends][1:] != owner[ends][:-1]]))
+    for s, own in zip(owner[ends[first]].tolist(), np.split(inside[ends] - window + 1, first[1:]), strict=True):
+        yield s, own
 
 
 def spans_of(marked: DataFrame, window: int) -> DataFrame:
@@ -252,7 +257,7 @@ def pairs_between(spans: np.ndarray, n: int) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with all columns; texts lose the repeated words (a changed text has one space between words), and n_chars follows."""
     others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("_k"), "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"))
+    rows = keyed(docs, F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
