@@ -1,0 +1 @@
+"""Search and analysis of file-metadata catalogs on Spark."""
