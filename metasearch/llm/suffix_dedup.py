@@ -31,7 +31,7 @@ from metasearch.llm.base import M1, U64, cut, in_batches, keyed, mix, rows_of, u
 
 LENGTH, GRAM = 100, 16
 #: Bytes of segments that one map task holds before it sorts them into runs.
-HELD = 32 << 20
+HELD = 12 << 20
 #: Starts of strings looked at a time, so that a very long text needs little memory.
 PIECE = 1 << 20
 NO_ID = -(1 << 63)
