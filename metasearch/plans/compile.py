@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import functools
 import operator
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,12 +18,19 @@ TOP = (1 << 32) - 1
 MAX_BIGINT = (1 << 63) - 1
 
 
+def joined(columns: list[Column], by: Callable[[Column, Column], Column]) -> Column:
+    """All columns joined in pairs of pairs: the expression stays shallow however many there are."""
+    while len(columns) > 1:
+        columns = [by(*columns[i : i + 2]) if i + 1 < len(columns) else columns[i] for i in range(0, len(columns), 2)]
+    return columns[0]
+
+
 def every(conditions: list[Column]) -> Column:
-    return functools.reduce(operator.and_, conditions)
+    return joined(conditions, operator.and_)
 
 
 def some(conditions: list[Column]) -> Column:
-    return functools.reduce(operator.or_, conditions)
+    return joined(conditions, operator.or_)
 
 
 def scope(path: Column | str, roots: tuple[str, ...] | list[str], case_sensitive: bool) -> Column:
@@ -61,12 +68,13 @@ def term_match(query: Query) -> Column:
 def score(query: Query) -> Column:
     """The sum over terms, capped; null if a term is missing; 0 without terms. Lengths and offsets are in bytes."""
     path, name = F.col("path"), paths.name("path")
-    total = F.lit(0).cast("long")
+    parts = [F.lit(0).cast("long")]
     for text in query.terms:
         term = F.lit(text)
         at = paths.find_ci(name, term)
         hit = F.when(at == 0, F.lit(STARTS)).otherwise(F.lit(INSIDE)) + F.when(F.octet_length(name) == len(text.encode()), WHOLE).otherwise(0) + (NEAR - F.least(at, F.lit(255)))
-        total = total + F.when(at.isNotNull(), hit).when(F.contains(F.lower(path), term), IN_PATH).cast("long")
+        parts.append(F.when(at.isNotNull(), hit).when(F.contains(F.lower(path), term), IN_PATH).cast("long"))
+    total = joined(parts, operator.add)
     # least() skips nulls: keep a null score null
     return F.when(total.isNotNull(), F.least(total, F.lit(TOP)))
 
