@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metasearch.llm import bpe, decontamination, jaccard_join, language_id, licenses, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
+from metasearch.llm import bpe, decontamination, jaccard_join, language_id, licenses, oracles, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
 from metasearch.llm.base import documents
 
 
@@ -55,4 +55,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are beyond SQL: rule sets, fingerprints, fitted models and vocabularies are held against brute force in the tests."""
+    return {
+        "op2_jaccard_join": oracles.jaccard_components(3, 9, 10),
+        "op3_suffix_dedup": oracles.suffix_dedup(100),
+        "op4_sharding": oracles.sharding(40),
+        "op5_substring_dedup": oracles.substring_dedup(13),
+    }
