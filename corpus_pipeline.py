@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from metasearch.llm import bpe, decontamination, jaccard_join, quality_rules, substring_dedup
+from metasearch.llm.base import cut
 
 #: Words of a passage that goes where an earlier document has it.
 PASSAGE = 50
@@ -45,8 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What a stage keeps is written to the shared checkpoint folder before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        docs = docs if i == len(STAGES) else cut(docs)
     return docs

@@ -16,9 +16,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from metasearch.llm.base import in_batches, rows_of, utf8
+from metasearch.llm.base import in_batches, rows_of, small_batches, utf8
 
 #: Symbols counted by n_symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -70,12 +71,12 @@ def script_of(text: str) -> str:
 
 
 class Pieces:
-    """Word numbers and their pieces, by one encoding of each word."""
+    """Word numbers and their pieces, by one encoding of each word. ``model``: the bytes of a sentencepiece model."""
 
-    def __init__(self, model: str) -> None:
+    def __init__(self, model: bytes) -> None:
         import sentencepiece
 
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.is_byte = np.array([self.sp.is_byte(i) for i in range(self.sp.get_piece_size())])
         self.clear()
 
@@ -155,11 +156,11 @@ DDL = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup
 
 
 def quality_rules(docs: DataFrame, model: str | None = None, rules: Rules | None = None) -> DataFrame:
-    """One row a document: its measures and verdict. ``model``: a sentencepiece model file that every executor has."""
-    model, rules = model or default_model(), rules or Rules()
+    """One row a document: its measures and verdict. ``model``: path of a sentencepiece model; the driver reads it."""
+    shared, rules = sent(docs, model), rules or Rules()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = Pieces(shared.value)
         yield from in_batches(((d, *measured(t, pieces, rules)) for d, t in rows_of(batches, "doc_id", "text")), MEASURES)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, DDL)
@@ -167,10 +168,10 @@ def quality_rules(docs: DataFrame, model: str | None = None, rules: Rules | None
 
 def passing(docs: DataFrame, model: str | None = None, rules: Rules | None = None) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    model, rules = model or default_model(), rules or Rules()
+    shared, rules = sent(docs, model), rules or Rules()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = Pieces(shared.value)
         for batch in batches:
             texts = (t for (t,) in rows_of(iter([batch]), "text"))
             yield batch.filter(pa.array([measured(t, pieces, rules)[6] for t in texts], pa.bool_()))
@@ -178,6 +179,13 @@ def passing(docs: DataFrame, model: str | None = None, rules: Rules | None = Non
     return docs.mapInArrow(run, docs.schema)
 
 
+def sent(docs: DataFrame, model: str | None) -> Broadcast:
+    """The model's bytes on all executors (bounded by its vocabulary)."""
+    small_batches(docs.sparkSession)
+    with open(model or default_model(), "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
+
+
 def default_model() -> str:
     import public_tokenizers
 

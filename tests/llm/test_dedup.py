@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from metasearch.llm import jaccard_join, substring_dedup, suffix_dedup
+from metasearch.llm import jaccard_join, shared, substring_dedup, suffix_dedup
 from tests.llm.conftest import prose, table
 
 
@@ -71,6 +71,23 @@ def test_substring_dedup(spark, awkward, window):
     assert rows_of(substring_dedup.substring_dedup(table(spark, rows), window)) == brute_words(rows, window)
 
 
+def test_substring_dedup_in_pieces(spark, awkward, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PIECE", 50)
+    monkeypatch.setattr(substring_dedup, "HELD", 5000)
+    rows = corpus(awkward)
+    assert rows_of(substring_dedup.substring_dedup(table(spark, rows))) == brute_words(rows, 13)
+
+
+@pytest.mark.parametrize("hot", [2, 7])
+def test_hot_anchors_change_nothing(spark, awkward, monkeypatch, hot):
+    monkeypatch.setattr(shared, "HOT", hot)
+    monkeypatch.setattr(shared, "BATCH_DOCS", 10)
+    rows = [(d, t) for d, t in corpus(awkward) if t is None or len(t) < 9000]
+    assert rows_of(suffix_dedup.suffix_dedup(table(spark, rows))) == brute_bytes(rows, 100)
+    assert rows_of(substring_dedup.substring_dedup(table(spark, rows))) == brute_words(rows, 13)
+    assert rows_of(jaccard_join.ngram_components(table(spark, rows), 3, 9, 10)) == brute_components(rows, 3, 9, 10)
+
+
 @pytest.mark.parametrize("length", [100, 40])
 def test_suffix_dedup(spark, awkward, length):
     rows = [(d, t) for d, t in corpus(awkward) if t is None or len(t) < 9000]

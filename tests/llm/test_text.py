@@ -78,7 +78,8 @@ def test_quality_rules(spark, awkward):
 
 
 def test_pieces_match_the_library():
-    pieces = quality_rules.Pieces(quality_rules.default_model())
+    with open(quality_rules.default_model(), "rb") as f:
+        pieces = quality_rules.Pieces(f.read())
     words = prose(7, 300).encode().split() + "日本 🙂 naïve".encode().split()
     want = [i for w in words for i in pieces.sp.encode(w.decode())]
     assert pieces.tokens(pieces.of(words)).tolist() == want
