@@ -5,6 +5,11 @@ the batch's distinct keys by key range: one row a (batch, range), so that a key
 once a batch. Reducers see for each range which keys come from several batches and answer each batch with the places of those. The
 keys themselves are never joined back: a document learns a bit for each of its keys, in order.
 
+Batches follow the order of the input's partitions. So that a task that is run again makes the same ones, the input should be a stored table or
+a checkpoint, not the far side of an exchange.
+
+Keys with HOT or more occurrences are told apart by a second bit, the same for every document: callers spread their groups more finely.
+
 Keys are compared by a fingerprint of 40 bits or more: a marked key may rarely be single, a shared one is never missed. Callers verify.
 """
 
@@ -26,10 +31,11 @@ from metasearch.llm.base import U64, bloom, bloom_mark, in_batches, rows_of
 
 #: Keys, and documents, of a batch at most (a document is never split).
 BATCH_KEYS, BATCH_DOCS = 1 << 20, 1 << 15
-REPEATS = 0xFFFFFFFF
+#: Occurrences from which on a key counts as hot.
+HOT = 10_000
 PACK = pa.schema([("route", pa.int64()), ("batch", pa.int64()), ("meta", pa.bool_()), ("data", pa.binary())])
 PACK_DDL = "route bigint, batch bigint, meta boolean, data binary"
-MARKS = pa.schema([("doc_id", pa.int64()), ("_k", pa.int64()), ("extra", pa.binary()), ("n_keys", pa.int64()), ("n_shared", pa.int64()), ("marks", pa.binary())])
+MARKS = pa.schema([("doc_id", pa.int64()), ("_k", pa.int64()), ("extra", pa.binary()), ("n_keys", pa.int64()), ("n_shared", pa.int64()), ("marks", pa.binary()), ("hot", pa.binary())])
 
 
 def ranges(spark) -> int:
@@ -38,9 +44,9 @@ def ranges(spark) -> int:
 
 
 def shared_keys(docs: DataFrame, describe: Callable[[], Callable[[str | None], tuple[np.ndarray, bytes]]], only_shared: bool = True) -> DataFrame:
-    """doc_id, _k, extra, n_keys, n_shared, marks (bits, least first) for rows of (doc_id, _k, text).
+    """doc_id, _k, extra, n_keys, n_shared, marks, hot (bits, least first; hot is null if none is) for rows of (doc_id, _k, text).
 
-    ``describe()`` is called once a task and gives the function from a text to its keys and some bytes to keep. A key counts as shared
+    Keys should lie evenly over 64 bits. ``describe()`` is called once a task and gives the function from a text to its keys and some bytes to keep. A key counts as shared
     if it occurs twice or more among all documents, also within one. ``only_shared`` leaves out documents without a shared key.
     """
     n_ranges = ranges(docs.sparkSession)
@@ -53,17 +59,20 @@ def shared_keys(docs: DataFrame, describe: Callable[[], Callable[[str | None], t
         s = keys[order]
         first = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, bool)
         starts = np.flatnonzero(first)
-        again = np.diff(np.concatenate([starts, [len(s)]])) > 1
+        count = np.diff(np.concatenate([starts, [len(s)]]))
         marks = np.zeros(len(keys), bool)
-        marks[order] = np.repeat(again, np.diff(np.concatenate([starts, [len(s)]])))
-        place = np.where(again, REPEATS, order[starts]).astype(np.uint32)
+        marks[order] = np.repeat(count > 1, count)
+        place, often = order[starts].astype(np.uint32), np.minimum(count, 0xFFFF).astype(np.uint16)
+        # further places of a key that repeats in the batch, and its first one
+        later = np.flatnonzero(~first)
+        repeats = np.stack([order[later], np.repeat(order[starts], count)[later]]).astype(np.uint32)
         u = s[starts]
         prints = (u >> U64(32 - bits)).astype(np.uint32) if bits <= 32 else u.astype(np.uint32)
         edges = np.searchsorted(u, np.arange(n_ranges, dtype=U64) << U64(64 - bits))
         for r, (a, b) in enumerate(zip(edges, [*edges[1:], len(u)], strict=True)):
             if a < b:
-                yield r, batch, False, prints[a:b].tobytes() + place[a:b].tobytes()
-        meta = [d for d, *_ in held], [k for _, k, *_ in held], [e for *_, e in held], sizes, np.packbits(marks, bitorder="little")
+                yield r, batch, False, prints[a:b].tobytes() + place[a:b].tobytes() + often[a:b].tobytes()
+        meta = [d for d, *_ in held], [k for _, k, *_ in held], [e for *_, e in held], sizes, np.packbits(marks, bitorder="little"), repeats if only_shared else None
         yield n_ranges + batch, batch, True, zlib.compress(pickle.dumps(meta), 1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,18 +102,20 @@ def shared_keys(docs: DataFrame, describe: Callable[[], Callable[[str | None], t
             found: dict[int, list[np.ndarray]] = defaultdict(list)
             while held:
                 _, packs = held.popitem()
-                sizes = np.array([len(d) // 8 for _, d in packs])
-                prints = np.concatenate([np.frombuffer(d, np.uint32, n) for (_, d), n in zip(packs, sizes, strict=True)])
-                place = np.concatenate([np.frombuffer(d, np.uint32, n, 4 * n) for (_, d), n in zip(packs, sizes, strict=True)])
+                sizes = np.array([len(d) // 10 for _, d in packs])
+                prints, place, often = (np.concatenate([np.frombuffer(d, kind, n, at * n) for (_, d), n in zip(packs, sizes, strict=True)]) for kind, at in ((np.uint32, 0), (np.uint32, 4), (np.uint16, 8)))
                 order = np.argsort(prints, kind="stable")
-                same = prints[order][1:] == prints[order][:-1]
-                several = np.zeros(len(prints), bool)
-                several[order[1:]] |= same
-                several[order[:-1]] |= same
-                several &= place != REPEATS
-                for (batch, _), part, hit in zip(packs, np.split(place, np.cumsum(sizes)[:-1]), np.split(several, np.cumsum(sizes)[:-1]), strict=True):
-                    if hit.any():
-                        found[batch].append(part[hit])
+                first = np.concatenate([[True], prints[order][1:] != prints[order][:-1]])
+                starts = np.flatnonzero(first)
+                rows = np.diff(np.concatenate([starts, [len(order)]]))
+                hot = np.add.reduceat(often[order].astype(np.int64), starts) >= HOT
+                told, is_hot = np.empty(len(prints), bool), np.empty(len(prints), bool)
+                # a key that repeats in its one batch only is known there
+                told[order], is_hot[order] = np.repeat((rows > 1) | hot, rows), np.repeat(hot, rows)
+                answer = place.astype(np.int64) | is_hot.astype(np.int64) << 32
+                for (batch, _), part, own in zip(packs, np.split(answer, np.cumsum(sizes)[:-1]), np.split(told, np.cumsum(sizes)[:-1]), strict=True):
+                    if own.any():
+                        found[batch].append(part[own])
             for batch, parts in found.items():
                 yield batch, batch, False, np.concatenate(parts).tobytes()
 
@@ -117,25 +128,34 @@ def shared_keys(docs: DataFrame, describe: Callable[[], Callable[[str | None], t
                 if meta:
                     metas[batch] = data
                 else:
-                    places[batch].append(np.frombuffer(data, np.uint32))
+                    places[batch].append(np.frombuffer(data, np.int64))
             for batch, data in metas.items():
-                docs, ks, extras, sizes, marks = pickle.loads(zlib.decompress(data))
+                docs, ks, extras, sizes, marks, repeats = pickle.loads(zlib.decompress(data))
                 marks = np.unpackbits(marks, count=int(sizes.sum()), bitorder="little").astype(bool)
+                hot = np.zeros(len(marks), bool)
                 for p in places.pop(batch, ()):
-                    marks[p] = True
-                for doc, k, extra, own in zip(docs, ks, extras, np.split(marks, np.cumsum(sizes)[:-1]), strict=True):
+                    marks[p & 0xFFFFFFFF] = True
+                    hot[p[p >> 32 > 0] & 0xFFFFFFFF] = True
+                if repeats is not None:
+                    hot[repeats[0]] = hot[repeats[1]]
+                ends = np.cumsum(sizes)[:-1]
+                for doc, k, extra, own, own_hot in zip(docs, ks, extras, np.split(marks, ends), np.split(hot, ends), strict=True):
                     n = int(own.sum())
-                    if n or not only_shared:
-                        yield doc, k, extra, len(own), n, np.packbits(own, bitorder="little").tobytes() if only_shared else None
+                    if not only_shared:
+                        yield doc, k, extra, len(own), n, None, None
+                    elif n:
+                        yield doc, k, extra, len(own), n, np.packbits(own, bitorder="little").tobytes(), np.packbits(own_hot, bitorder="little").tobytes() if own_hot.any() else None
 
         yield from in_batches(rows(), MARKS)
 
     packed = docs.select("doc_id", "_k", "text").mapInArrow(pack, PACK_DDL)
     met = packed.repartition("route").mapInArrow(meet, PACK_DDL)
-    return met.repartition("batch").mapInArrow(answer, "doc_id bigint, _k bigint, extra binary, n_keys bigint, n_shared bigint, marks binary")
+    return met.repartition("batch").mapInArrow(answer, "doc_id bigint, _k bigint, extra binary, n_keys bigint, n_shared bigint, marks binary, hot binary")
 
 
-def bits_of(marks: bytes, n: int) -> np.ndarray:
+def bits_of(marks: bytes | None, n: int) -> np.ndarray:
+    if marks is None:
+        return np.zeros(n, bool)
     return np.unpackbits(np.frombuffer(marks, np.uint8), count=n, bitorder="little").astype(bool)
 
 

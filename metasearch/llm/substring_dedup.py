@@ -7,6 +7,9 @@ A shard's distinct segments become an FM-index: a BWT ordered by the first ``win
 matrix of packed bits with block counts. Segments are streamed against it: backward search gives each end's match length up to the window
 and the interval of its occurrences; where the length is reached and the interval holds a smaller doc_id, the window is removed.
 
+A minimizer with thousands of occurrences would send them all to one shard. Its windows are sent one by one instead, each by its own
+hash, after equal ones have collapsed; all tasks know the same minimizers as hot.
+
 Removal is judged on the input: all windows are taken before any word goes.
 
 Defined results: a null text has no words; null ids come before all others; rows with equal ids are one document, whose repeats don't remove
@@ -22,16 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metasearch.llm import shared
-from metasearch.llm.base import U64, WordHashes, cut, gram_hashes, in_batches, keyed, rows_of, utf8
+from metasearch.llm.base import U64, WordHashes, cut, gram_hashes, in_batches, keyed, mix, rows_of, utf8
 
 WINDOW, GRAM = 13, 5
 #: Bytes of segments that one map task holds before it sends them on.
 HELD = 16 << 20
 NO_ID = -(1 << 63)
+#: Windows of a document looked at a time.
+PIECE = 1 << 20
 #: Windows searched at a time.
 CHUNK = 1 << 17
 
@@ -105,10 +111,16 @@ class FMIndex:
 
 def anchors(w: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(minimizer hash, first window, last window) of a document's segments."""
-    gram = min(GRAM, window)
-    g = gram_hashes(w, gram)
-    place, first, last = shared.minimizers(g, window - gram + 1)
-    return g[place], first, last
+    gram, found = min(GRAM, window), []
+    for at in range(0, len(w) - window + 1, PIECE):
+        g = gram_hashes(w[at : at + PIECE + window - 1], gram)
+        place, first, last = shared.minimizers(g, window - gram + 1)
+        # the smallest of many hashes: hashed again, keys lie evenly over the shards
+        found.append((mix(g[place]), first + at, last + at))
+    if not found:
+        none = np.empty(0, np.int64)
+        return none.astype(U64), none, none
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def earlier_windows(segments: list[tuple[bytes, int]], window: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -163,8 +175,16 @@ def spans_of(marked: DataFrame, window: int) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: dict, removed: dict) -> Iterator[tuple]:
-            by_shard = defaultdict(list)
-            for (anchor, words), own in held.items():
+            by_shard, windows = defaultdict(list), {}
+            for (anchor, words, hot), (doc, places) in held.items():
+                if hot:  # each window by itself: a hot minimizer's windows go to many shards, by all of their words
+                    words = words.split()
+                    for i in range(len(words) - window + 1):
+                        part = b" ".join(words[i : i + window])
+                        collapse(windows, (xxhash.xxh64_intdigest(part), part), doc, [(d, k, a + i, a + i + window) for d, k, a, _ in places], removed)
+                else:
+                    by_shard[anchor >> (64 - bits)].append((anchor, words, doc, places))
+            for (anchor, words), own in windows.items():
                 by_shard[anchor >> (64 - bits)].append((anchor, words, *own))
             for s, rows in by_shard.items():
                 yield s, None, None, zlib.compress(pickle.dumps(rows), 1)
@@ -173,14 +193,14 @@ def spans_of(marked: DataFrame, window: int) -> DataFrame:
 
         def rows() -> Iterator[tuple]:
             memo, held, removed, n = WordHashes(), {}, defaultdict(list), 0
-            for doc, k, text, n_keys, marks in rows_of(batches, "doc_id", "_k", "text", "n_keys", "marks"):
+            for doc, k, text, n_keys, marks, hot in rows_of(batches, "doc_id", "_k", "text", "n_keys", "marks", "hot"):
                 words = utf8(text).split()
                 key, first, last = anchors(memo.of(words), window)
-                at = np.flatnonzero(shared.bits_of(marks, n_keys))
-                for a, f, e in zip(key[at].tolist(), first[at].tolist(), (last[at] + window).tolist(), strict=True):
+                at, hot = np.flatnonzero(shared.bits_of(marks, n_keys)), shared.bits_of(hot, n_keys)
+                for a, f, e, h in zip(key[at].tolist(), first[at].tolist(), (last[at] + window).tolist(), hot[at].tolist(), strict=True):
                     content = b" ".join(words[f:e])
                     n += len(content) + 100
-                    collapse(held, (a, content), NO_ID if doc is None else doc, [(doc, k, f, e)], removed)
+                    collapse(held, (a, content, h), NO_ID if doc is None else doc, [(doc, k, f, e)], removed)
                 if n >= HELD:
                     yield from flush(held, removed)
                     held, removed, n = {}, defaultdict(list), 0
@@ -214,6 +234,8 @@ def spans_of(marked: DataFrame, window: int) -> DataFrame:
 
         yield from in_batches(rows(), shared.SPANS)
 
+    # in a fixed order: a task that is run again after an executor's loss makes the same batches
+    marked = marked.select("doc_id", "_k", "text", "n_keys", "marks", "hot").sortWithinPartitions("doc_id", "_k")
     # removed spans have no shard: they are dealt out by document
     sent = marked.mapInArrow(gather, ddl).withColumn("_to", F.coalesce("shard", F.col("_k")))
     return sent.repartition("_to").drop("_to").mapInArrow(search, shared.SPANS_DDL)

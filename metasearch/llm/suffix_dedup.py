@@ -8,6 +8,9 @@ the runs of a range: its loser tree keeps for each run the common prefix with th
 only beyond a prefix known to be common. The merge gives the suffixes in order with their common prefixes; for each offset of the anchor
 these (and the same for the left sides) number the equal strings, and all but the first place of each are removed.
 
+An anchor with thousands of occurrences would send them all to one range. Its strings are sent one by one instead, each by its own
+hash, after equal ones have collapsed; all tasks know the same anchors as hot.
+
 Strings are judged on the input. "Earlier" goes by doc_id, then by start.
 
 Defined results: a null text has no bytes; null ids come before all others; rows with equal ids are one document; texts shorter than
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +56,8 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     for at in range(0, len(array) - length + 1, PIECE):
         g = gram16(array[at : at + PIECE + length - 1])
         place, first, last = shared.minimizers(g, length - GRAM + 1)
-        found.append((g[place], place + at, first + at, last + at))
+        # the smallest of many hashes: hashed again, keys lie evenly over the ranges
+        found.append((mix(g[place]), place + at, first + at, last + at))
     if not found:
         none = np.empty(0, np.int64)
         return none.astype(U64), none, none, none
@@ -191,12 +196,34 @@ def spans_of(marked: DataFrame, length: int) -> DataFrame:
     bits = shared.ranges(marked.sparkSession).bit_length() - 1
     schema = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("_k", pa.int64()), ("data", pa.binary())])
 
+    def keep(held: dict, name: tuple, doc: int | None, first: int, k: int, size: int, hot: bool, removed: dict) -> int:
+        """Keep the first place of a string; the other is removed. The bytes that are new."""
+        own = held.get(name)
+        if own is None:
+            held[name] = doc, first, k, hot
+            return size
+        here, there = (NO_ID if doc is None else doc, first), (NO_ID if own[0] is None else own[0], own[1])
+        if here < there:
+            held[name] = doc, first, k, hot
+            removed[own[0], own[2]].append((own[1], own[1] + size))
+        elif there < here:
+            removed[doc, k].append((first, first + size))
+        return 0
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: dict, removed: dict) -> Iterator[tuple]:
-            by_shard = defaultdict(list)
-            for (anchor, offset, segment), (doc, first, k) in held.items():
-                by_shard[anchor >> (64 - bits)].append((segment[offset:], segment[:offset][::-1], doc, k, first + offset))
+            by_shard, strings = defaultdict(list), {}
+            for (anchor, offset, segment), (doc, first, k, hot) in held.items():
+                if hot:  # each string by itself: a hot anchor's strings go to many shards, by all of their bytes
+                    for i in range(len(segment) - length + 1):
+                        string = segment[i : i + length]
+                        keep(strings, (xxhash.xxh64_intdigest(string), 0, string), doc, first + i, k, length, True, removed)
+                else:
+                    by_shard[anchor >> (64 - bits)].append((segment[offset:], segment[:offset][::-1], doc, k, first + offset))
             held.clear()
+            for (anchor, _, string), (doc, first, k, _) in strings.items():
+                by_shard[anchor >> (64 - bits)].append((string, b"", doc, k, first))
+            strings.clear()
             while by_shard:
                 s, entries = by_shard.popitem()
                 yield s, None, None, front_coded(entries, length)
@@ -205,24 +232,12 @@ def spans_of(marked: DataFrame, length: int) -> DataFrame:
 
         def rows() -> Iterator[tuple]:
             held, removed, n = {}, defaultdict(list), 0
-            for doc, k, text, n_keys, marks in rows_of(batches, "doc_id", "_k", "text", "n_keys", "marks"):
+            for doc, k, text, n_keys, marks, hot in rows_of(batches, "doc_id", "_k", "text", "n_keys", "marks", "hot"):
                 data = utf8(text)
                 key, place, first, last = anchors(data, length)
-                at = np.flatnonzero(shared.bits_of(marks, n_keys))
-                by = NO_ID if doc is None else doc
-                for a, p, f, e in zip(key[at].tolist(), place[at].tolist(), first[at].tolist(), (last[at] + length).tolist(), strict=True):
-                    name = a, p - f, data[f:e]
-                    own = held.get(name)
-                    if own is None:
-                        held[name] = doc, f, k
-                        n += e - f
-                        continue
-                    here, there = (by, f), (NO_ID if own[0] is None else own[0], own[1])
-                    if here < there:
-                        held[name] = doc, f, k
-                        removed[own[0], own[2]].append((own[1], own[1] + e - f))
-                    elif there < here:
-                        removed[doc, k].append((f, e))
+                at, hot = np.flatnonzero(shared.bits_of(marks, n_keys)), shared.bits_of(hot, n_keys)
+                for a, p, f, e, h in zip(key[at].tolist(), place[at].tolist(), first[at].tolist(), (last[at] + length).tolist(), hot[at].tolist(), strict=True):
+                    n += keep(held, (a, p - f, data[f:e]), doc, f, k, e - f, h, removed) * (8 if h else 1)
                 if n >= HELD:
                     yield from flush(held, removed)
                     removed, n = defaultdict(list), 0
@@ -243,6 +258,8 @@ def spans_of(marked: DataFrame, length: int) -> DataFrame:
 
         yield from in_batches(rows(), shared.SPANS)
 
+    # in a fixed order: a task that is run again after an executor's loss makes the same batches
+    marked = marked.select("doc_id", "_k", "text", "n_keys", "marks", "hot").sortWithinPartitions("doc_id", "_k")
     sent = marked.mapInArrow(gather, "shard bigint, doc_id bigint, _k bigint, data binary").withColumn("_to", F.coalesce("shard", F.col("_k")))
     return sent.repartition("_to").drop("_to").mapInArrow(merge, shared.SPANS_DDL)
 
