@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metasearch.checkpoints import cut
 from metasearch.functions.labels import trigrams
 from metasearch.plans.query import Query
 
 #: Rows of a block.
 BLOCK = 32
-#: So many parts the block numbers are made in; each is a contiguous range of paths.
-PARTS = 64
 
 
 def blocked(files: DataFrame, rows: int = BLOCK) -> DataFrame:
-    """Adds block_id: runs of ``rows`` rows in path order, numbered by range, so that no task sorts the whole table."""
-    ranged = files.repartitionByRange(PARTS, "path", "native_id").withColumn("_part", F.spark_partition_id())
+    """Adds block_id: runs of ``rows`` rows in path order, numbered by range, so that no task sorts the whole table.
+
+    Range bounds are sampled, so the result is written once: the table and its postings must agree on the numbers.
+    """
+    ranged = files.repartitionByRange("path", "native_id").withColumn("_part", F.spark_partition_id())
     within = Window.partitionBy("_part").orderBy("path", "native_id", "source")
     numbered = ranged.withColumn("_row", F.row_number().over(within) - 1)
     # block numbers needn't be without gaps: a part's numbers start beyond those of the parts before it
-    return numbered.withColumn("block_id", F.shiftleft(F.col("_part").cast("long"), 40) + F.floor(F.col("_row") / rows)).drop("_part", "_row")
+    return cut(numbered.withColumn("block_id", F.shiftleft(F.col("_part").cast("long"), 40) + F.floor(F.col("_row") / rows)).drop("_part", "_row"))
 
 
 def postings(files: DataFrame) -> DataFrame:

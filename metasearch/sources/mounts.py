@@ -71,10 +71,10 @@ def scanned(files: DataFrame, mountpoint: str, roots: list[str]) -> DataFrame:
 
 
 def scanned_by(files: DataFrame, roots: DataFrame) -> DataFrame:
-    """The same for a table of roots of any length: rows meet the roots among their ancestors by equality."""
-    keyed = files.withColumn("_ways", paths.ancestors("path")).withColumn("_row", F.monotonically_increasing_id())
-    hits = keyed.select("_row", F.explode("_ways").alias("_way")).join(roots.select(paths.normalize("root").alias("_way")).distinct(), "_way", "left_semi").select("_row").distinct()
-    return keyed.join(hits, "_row", "left_semi").drop("_row", "_ways")
+    """The same for a table of roots of any length: paths meet the roots among their ancestors by equality."""
+    ways = files.select("path", F.explode(paths.ancestors("path")).alias("_way"))
+    inside = ways.join(roots.select(paths.normalize("root").alias("_way")).distinct(), "_way", "left_semi").select("path").distinct()
+    return files.join(inside, "path", "left_semi").select(*files.columns)
 
 
 def validate_roots(roots: list[str], mountpoints: list[str]) -> list[str]:
