@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words remembered by one Python worker before its memo starts anew.
-MEMO_WORDS = 400_000
+#: Words remembered by one Python worker before its memo starts anew; longer ones aren't.
+MEMO_WORDS, MEMO_BYTES = 400_000, 64
 #: Rows of text in one Arrow batch, unless the session asks for fewer.
 BATCH_ROWS = 1000
 #: Most 64-bit words of a broadcast Bloom filter (16 MB).
@@ -54,12 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered; bounded."""
+    """64-bit hashes of words (bytes). Up to MEMO_WORDS words of MEMO_BYTES at most are remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

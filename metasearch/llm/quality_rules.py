@@ -24,8 +24,8 @@ from metasearch.llm.base import in_batches, rows_of, small_batches, utf8
 #: Symbols counted by n_symbols.
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
-#: Words whose pieces one Python worker keeps before it starts anew.
-MEMO = 300_000
+#: Words, and their bytes, whose pieces one Python worker keeps before it starts anew.
+MEMO, MEMO_BYTES = 300_000, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -82,14 +82,16 @@ class Pieces:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.bytes = 0
         self.flat, self.start = np.empty(1 << 16, np.int32), np.zeros(1, np.int64)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """A number for each word; equal words have equal numbers. Numbers hold until the next call."""
-        if len(self.number) > MEMO:
+        if len(self.number) > MEMO or self.bytes > MEMO_BYTES:
             self.clear()
         new = [w for w in dict.fromkeys(words) if w not in self.number]
         if new:
+            self.bytes += sum(map(len, new))
             ids = self.sp.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))

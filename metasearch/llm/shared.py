@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metasearch.llm.base import U64, bloom, bloom_mark, in_batches, rows_of
+from metasearch.llm.base import U64, bloom, bloom_mark, cut, in_batches, rows_of
 
 #: Keys, and documents, of a batch at most (a document is never split).
 BATCH_KEYS, BATCH_DOCS = 1 << 20, 1 << 15
@@ -216,10 +216,10 @@ def read_spans(parts: list[bytes] | None) -> np.ndarray:
     return joined(np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 2) for p in parts])) if parts else np.empty((0, 2), np.int64)
 
 
-def with_spans(docs: DataFrame, marked: DataFrame, spans: DataFrame) -> DataFrame:
-    """All ``docs`` with _spans, array<binary> or null: only those that may be ``marked`` are joined with the span rows."""
-    maybe, rest = split_by(docs, marked)
-    own = spans.groupBy("doc_id", "_k").agg(F.collect_list("spans").alias("_spans"))
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """All ``docs`` with _spans, array<binary> or null: only those that may have span rows are joined with them."""
+    own = cut(spans.groupBy("doc_id", "_k").agg(F.collect_list("spans").alias("_spans")))
+    maybe, rest = split_by(docs, own)
     return with_rows(maybe, own, "left").unionByName(rest.withColumn("_spans", F.lit(None).cast("array<binary>")))
 
 

@@ -1,7 +1,7 @@
 """Removal of word runs that an earlier document has: an FM-index a shard, backward search over a wavelet matrix.
 
 A window is ``window`` consecutive words of one document (words lie between spaces, tabs and line ends). Each window has a minimizer,
-its smallest 5-word gram; windows in a row that share one make a segment. Equal windows have equal minimizers, so segments whose
+its smallest 7-word gram; windows in a row that share one make a segment. Equal windows have equal minimizers, so segments whose
 minimizer occurs nowhere else are left out, and the others meet in the shard of their minimizer. Equal segments collapse before and after the exchange.
 A shard's distinct segments become an FM-index: a BWT ordered by the first ``window`` words and more, in a wavelet
 matrix of packed bits with block counts. Segments are streamed against it: backward search gives each end's match length up to the window
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from metasearch.llm import shared
 from metasearch.llm.base import U64, WordHashes, cut, gram_hashes, in_batches, keyed, mix, rows_of, utf8
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 7
 #: Bytes of segments that one map task holds before it sends them on.
 HELD = 16 << 20
 NO_ID = -(1 << 63)
@@ -250,7 +250,7 @@ def with_removed(docs: DataFrame, window: int) -> DataFrame:
 
     marks = cut(shared.shared_keys(docs, describe).drop("extra").dropDuplicates(["doc_id", "_k"]))
     maybe, _ = shared.split_by(docs.select("doc_id", "_k", "text"), marks)
-    return shared.with_spans(docs, marks, spans_of(shared.with_rows(maybe, marks), window))
+    return shared.with_spans(docs, spans_of(shared.with_rows(maybe, marks), window))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -1,6 +1,6 @@
 """Removal of repeated byte strings by sorted suffixes: front-coded runs, merged by loser trees that know common prefixes.
 
-Every string of ``length`` bytes has an anchor: the smallest 16-byte gram in it. Equal strings have equal anchors at equal offsets, so two strings are equal if
+Every string of ``length`` bytes has an anchor: the smallest 32-byte gram in it. Equal strings have equal anchors at equal offsets, so two strings are equal if
 the texts agree far enough to the left and to the right of their anchors. Anchors that occur once are left out (shared.py). For the
 others each map task cuts the suffix that starts at the anchor (``length`` bytes at most) and the bytes to its left, collapses equal
 ones to the first place, sorts the suffixes and front-codes them into runs, one a key range. A reducer merges
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from metasearch.llm import shared
 from metasearch.llm.base import M1, U64, cut, in_batches, keyed, mix, rows_of, utf8
 
-LENGTH, GRAM = 100, 16
+LENGTH, GRAM = 100, 32
 #: Bytes of segments that one map task holds before it sorts them into runs.
 HELD = 12 << 20
 #: Starts of strings looked at a time, so that a very long text needs little memory.
@@ -41,10 +41,10 @@ PIECE = 1 << 20
 NO_ID = -(1 << 63)
 
 
-def gram16(data: np.ndarray) -> np.ndarray:
-    """Hash of each 16 bytes in a row."""
+def gram_keys(data: np.ndarray) -> np.ndarray:
+    """Hash of each GRAM bytes in a row, from runs of half the length."""
     h = data.astype(U64) + U64(1)
-    for step in (1, 2, 4, 8):
+    for step in (1, 2, 4, 8, 16):
         h = h[:-step] * M1 + h[step:]
         h ^= h >> U64(29)
     return mix(h)
@@ -54,7 +54,7 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """(key, place, first start, last start) of the strings of ``length`` bytes that share an anchor."""
     array, found = np.frombuffer(data, np.uint8), []
     for at in range(0, len(array) - length + 1, PIECE):
-        g = gram16(array[at : at + PIECE + length - 1])
+        g = gram_keys(array[at : at + PIECE + length - 1])
         place, first, last = shared.minimizers(g, length - GRAM + 1)
         # the smallest of many hashes: hashed again, keys lie evenly over the ranges
         found.append((mix(g[place]), place + at, first + at, last + at))
@@ -272,11 +272,11 @@ def with_removed(docs: DataFrame, length: int) -> DataFrame:
 
     marks = cut(shared.shared_keys(docs, describe).drop("extra").dropDuplicates(["doc_id", "_k"]))
     maybe, _ = shared.split_by(docs.select("doc_id", "_k", "text"), marks)
-    return shared.with_spans(docs, marks, spans_of(shared.with_rows(maybe, marks), length))
+    return shared.with_spans(docs, spans_of(shared.with_rows(maybe, marks), length))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row. ``length``: 17 to 255 bytes."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row. ``length``: 33 to 255 bytes."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,10 +56,10 @@ def test_decontamination(spark, awkward):
 def test_blocks_find_all_within_the_radius():
     r, memo = np.random.default_rng(5), WordHashes()
     words = [[b"%d" % x for x in r.integers(0, 30, 8)] for _ in range(60)]
-    items = decontamination.Items([(i, b" ".join(w).decode()) for i, w in enumerate(words)], 24)
+    items = decontamination.Items([(i, b" ".join(w).decode()) for i, w in enumerate(words)], 32)
     prints = np.array([decontamination.bits_of(memo.of(w)).sum(0) > 0 for w in words])
     got = {(k, i) for k, near in items.candidates(prints, 8) for i in near}
-    assert got == {(k, i) for k in range(60) for i in range(60) if (prints[k] != prints[i]).sum() <= 24}
+    assert got == {(k, i) for k in range(60) for i in range(60) if (prints[k] != prints[i]).sum() <= 32}
 
 
 def test_quality_rules(spark, awkward):
