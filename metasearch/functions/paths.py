@@ -63,6 +63,11 @@ def under_ci(path: Column | str, root: Column | str) -> Column:
     return under(slashes(F.lower(col(path))), slashes(F.lower(r)))
 
 
+def key(path: Column | str) -> Column:
+    """Lower case, one kind of slash: what is stored and sorted by, so that prefixes and terms reach the scan."""
+    return slashes(F.lower(col(path)))
+
+
 def portable(path: Column | str, fold: bool = False) -> Column:
     """Slashes of one kind; optionally ASCII lower case."""
     p = slashes(col(path))

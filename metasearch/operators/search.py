@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from metasearch.operators import trigram
 from metasearch.plans import compile as plan
 from metasearch.plans.query import Query
+from metasearch.schema import KEY
 
 
 def matches(files: DataFrame, query: Query) -> DataFrame:
-    """All rows that match, with their score."""
-    return files.filter(plan.filters(query) & plan.term_match(query)).withColumn("score", plan.score(query))
+    """All rows that match, with their score. A table in its stored form (with path_key) is skipped through by prefix and term."""
+    keyed = KEY in files.columns
+    rows = files.filter(plan.filters(query, keyed) & plan.term_match(query, keyed))
+    return (rows.drop(KEY) if keyed else rows).withColumn("score", plan.score(query))
 
 
 def ranked(rows: DataFrame, query: Query) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from metasearch.functions import paths
 from metasearch.plans.query import Query, Sort
+from metasearch.schema import KEY
 
 #: What a term scores. A name that starts with it, a name that has it, a name of its length, nearness to the start, a path that has it.
 STARTS, INSIDE, WHOLE, NEAR, IN_PATH = 1 << 20, 1 << 12, 1 << 24, 256, 1 << 6
@@ -38,8 +39,11 @@ def scope(path: Column | str, roots: tuple[str, ...] | list[str], case_sensitive
     return some([paths.under(path, r) if case_sensitive else paths.under_ci(path, r) for r in roots]) if roots else F.lit(True)
 
 
-def filters(query: Query) -> Column:
-    """The cheap conditions, cheapest first. Paths that aren't safe never pass."""
+def filters(query: Query, keyed: bool = False) -> Column:
+    """The cheap conditions, cheapest first. Paths that aren't safe never pass.
+
+    ``keyed``: the rows have path_key; ``under:`` then is a prefix of a stored, sorted column, which the scan skips by.
+    """
     path, size = F.col("path"), F.col("size")
     found = []
     if query.kinds:
@@ -53,16 +57,20 @@ def filters(query: Query) -> Column:
     if query.exts:
         found.append(paths.ascii_lower(paths.extension(path)).isin(*query.exts))
     if query.under is not None:
-        found.append(paths.under_ci(path, query.under))
+        found.append(paths.under(KEY, paths.key(F.lit(query.under))) if keyed else paths.under_ci(path, query.under))
     if query.scope_roots:
         found.append(scope(path, query.scope_roots, query.scope_case_sensitive))
     return every([*found, paths.safe(path)])
 
 
-def term_match(query: Query) -> Column:
-    """Every term is in the path; a term in the name is in the path as well."""
+def term_match(query: Query, keyed: bool = False) -> Column:
+    """Every term is in the path; a term in the name is in the path as well.
+
+    ``keyed``: terms without slashes are looked for in path_key, which reaches the scan; it differs from the path in slashes and case only.
+    """
     low = F.lower(F.col("path"))
-    return every([F.contains(low, F.lit(t)) for t in query.terms]) if query.terms else F.lit(True)
+    found = [F.contains(F.col(KEY) if keyed and not {"/", "\\"} & set(t) else low, F.lit(t)) for t in query.terms]
+    return every(found) if found else F.lit(True)
 
 
 def score(query: Query) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
@@ -20,6 +20,9 @@ MOUNT_SCHEMA = _schema("device:s mountpoint:s fs:s source_kind:s host:s")
 INODE_SCHEMA = _schema("id:l parent:l parent_seq:l sequence:l name:s is_dir:b size:l mtime:l")
 LINK_SCHEMA = _schema("parent:l id:l name:s")
 FILE_COLUMNS = FILE_SCHEMA.fieldNames()
+#: Stored beside the columns above: paths.key(path).
+KEY = "path_key"
+STORED_SCHEMA = StructType([*FILE_SCHEMA.fields, StructField(KEY, StringType(), True)])
 
 #: Values of fields that a source doesn't give.
 DEFAULTS = {"size": 0, "mtime": 0, "mode": 0, "kind": "File", "fs": "ext4", "native_id": 0, "native_parent": 0, "source": 0}
@@ -46,5 +49,6 @@ def named(df: DataFrame) -> DataFrame:
     return df.withColumn("name", paths.name(F.col("path"))).withColumn("ext", paths.extension(F.col("path")))
 
 
-def file_struct() -> Column:
-    return F.struct(*FILE_COLUMNS)
+def with_key(files: DataFrame) -> DataFrame:
+    """The stored form of a file table."""
+    return as_files(files).withColumn(KEY, paths.key("path"))

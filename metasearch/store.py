@@ -1,7 +1,7 @@
 """Generations of a catalog on disk.
 
     root/current.json           generation, base rows, the change batches that belong to it
-    root/base/g=<n>/            Parquet in path order, zstd
+    root/base/g=<n>/            Parquet in the order of path_key, zstd
     root/changes/g=<n>/b=<id>/  one directory a batch
     root/_STALE                 readers are refused until a full build
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from metasearch.functions import paths
 from metasearch.operators import overlay
-from metasearch.schema import CHANGE_SCHEMA, FILE_SCHEMA, as_files, check
+from metasearch.schema import CHANGE_SCHEMA, FILE_SCHEMA, KEY, STORED_SCHEMA, as_files, check, with_key
 
 FORMAT = 1
 #: Bytes of change batches beyond which the base is rebuilt.
@@ -93,9 +93,10 @@ class Store:
             raise ValueError(f"format {got.get('format')} is not {FORMAT}")
         return Manifest(**got)
 
-    def base(self, manifest: Manifest | None = None) -> DataFrame:
+    def base(self, manifest: Manifest | None = None, keyed: bool = False) -> DataFrame:
         manifest = manifest or self.manifest()
-        return check(self.spark.read.schema(FILE_SCHEMA).parquet(self._base(manifest.generation)), FILE_SCHEMA)
+        schema = STORED_SCHEMA if keyed else FILE_SCHEMA
+        return check(self.spark.read.schema(schema).parquet(self._base(manifest.generation)), schema)
 
     def records(self) -> DataFrame:
         return self.base().orderBy("path", "native_id")
@@ -111,6 +112,15 @@ class Store:
         manifest = self.manifest()
         return overlay.overlay(self.base(manifest), self.changes(manifest)) if manifest.batches else self.base(manifest)
 
+    def searchable(self) -> DataFrame:
+        """The live table in its stored form, with path_key: searches push prefixes and terms down to the scan."""
+        manifest = self.manifest()
+        base = self.base(manifest, keyed=True)
+        if not manifest.batches:
+            return base
+        last = overlay.fold(self.changes(manifest))
+        return overlay.visible(base, last).unionByName(with_key(overlay.upserts(last)))
+
     def status(self) -> dict:
         manifest = self.manifest()
         size = self._fs.getContentSummary(self._path(self._base(manifest.generation))).getLength()
@@ -143,7 +153,7 @@ class Store:
         generation = last + 1
         while self._exists("base", f"g={generation}"):  # left by a build that died
             generation += 1
-        files.repartitionByRange("path").sortWithinPartitions("path").write.option("compression", "zstd").parquet(self._base(generation))
+        with_key(files).repartitionByRange(KEY, "path").sortWithinPartitions(KEY, "path").write.option("compression", "zstd").parquet(self._base(generation))
         n = self.spark.read.schema(FILE_SCHEMA).parquet(self._base(generation)).count()
         manifest = Manifest(generation, n)
         self._put("current.json", json.dumps(asdict(manifest)))
@@ -197,5 +207,5 @@ class Reader:
     def files(self) -> DataFrame:
         manifest = self.store.manifest()
         if manifest != self.seen:
-            self.seen, self._files = manifest, self.store.files()
+            self.seen, self._files = manifest, self.store.searchable()
         return self._files

@@ -71,6 +71,24 @@ def test_store(spark, store):
     assert paths_of(store.files()) == ["/d/beta.rs", "/d/gamma/notes.txt", "/d/new.rs"]
 
 
+def test_stored_searches_reach_the_scan(spark, store):
+    from metasearch.operators import search
+    from metasearch.plans.query import parse
+
+    rows = [(r"C:\Data\Mixed\File.txt", 1), ("/data/mixed/file.txt", 2), ("/data/other", 3), ("/DATA/Mixed/new.rs", 4)]
+    store.build(files(spark, rows))
+    for text in ("under:/data/mixed file", "under:c:/data", "mixed", "mixed/f", "mixed\\f", "under:/data/ new"):
+        query = parse(text)
+        assert paths_of(search.matches(store.searchable(), query)) == paths_of(search.matches(files(spark, rows), query))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = search.matches(store.searchable(), parse("under:/data/mixed file"))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "StringStartsWith(path_key,/data/mixed)" in pushed and "StringContains(path_key,file)" in pushed
+    store.apply(0, changes(spark, [(1, "Upsert", "/data/mixed/added-file", 1), (2, "Remove", "/data/mixed/file.txt", None)]))
+    assert paths_of(search.matches(store.searchable(), parse("under:/data/mixed file"))) == ["/data/mixed/added-file"]
+
+
 def test_stale(spark, store):
     store.build(files(spark, BASE))
     store.mark_stale("lost events")
