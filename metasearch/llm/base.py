@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -104,16 +106,32 @@ def written(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def frugal() -> None:
+    """Large arrays go back to the system when they are freed; else a worker that serves many tasks keeps its highest need."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed
+
+
+def release() -> None:
+    """Give freed memory back to the system, between batches and tasks of one Python worker."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def in_batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 512, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    frugal()
     held, n = [], 0
     for row in rows:
         held.append(row)
-        n += sum(len(x) for x in row if isinstance(x, (bytes, str)))
+        n += sum(x.nbytes if isinstance(x, np.ndarray) else len(x) for x in row if isinstance(x, (bytes, str, np.ndarray)))
         if len(held) >= most or n >= most_bytes:
             yield written(held, schema)
             held, n = [], 0
     if held:
         yield written(held, schema)
+    del held
+    release()
 
 
 def bloom(keys: DataFrame, key: Column) -> tuple[DataFrame, int]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metasearch.llm import shared
-from metasearch.llm.base import U64, WordHashes, cut, gram_hashes, in_batches, keyed, mix, rows_of, utf8
+from metasearch.llm.base import U64, WordHashes, cut, gram_hashes, in_batches, keyed, mix, release, rows_of, utf8
 
 WINDOW, GRAM = 13, 7
 #: Bytes of segments that one map task holds before it sends them on.
@@ -203,6 +203,7 @@ def spans_of(marked: DataFrame, window: int) -> DataFrame:
                     collapse(held, (a, content, h), NO_ID if doc is None else doc, [(doc, k, f, e)], removed)
                 if n >= HELD:
                     yield from flush(held, removed)
+                    release()
                     held, removed, n = {}, defaultdict(list), 0
             yield from flush(held, removed)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metasearch.llm import shared
-from metasearch.llm.base import M1, U64, cut, in_batches, keyed, mix, rows_of, utf8
+from metasearch.llm.base import M1, U64, cut, in_batches, keyed, mix, release, rows_of, utf8
 
 LENGTH, GRAM = 100, 32
 #: Bytes of segments that one map task holds before it sorts them into runs.
@@ -240,6 +240,7 @@ def spans_of(marked: DataFrame, length: int) -> DataFrame:
                     n += keep(held, (a, p - f, data[f:e]), doc, f, k, e - f, h, removed) * (8 if h else 1)
                 if n >= HELD:
                     yield from flush(held, removed)
+                    release()
                     removed, n = defaultdict(list), 0
             yield from flush(held, removed)
 
