@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metasearch.llm.base import in_batches, rows_of, small_batches
+from metasearch.llm.base import in_batches, release, rows_of, small_batches
 from metasearch.llm.shared import ranges, sha
 
 #: Words, and documents, of a block at most (a document is never split).
@@ -136,6 +136,7 @@ def encoded(docs: DataFrame, path: str, finish: Callable[[np.ndarray, bytes], tu
                 if n >= BLOCK_WORDS or len(ids) >= BLOCK_DOCS:
                     yield from flush(block, number, ids, parts)
                     block, number, ids, parts, n = block + 1, {}, [], [], 0
+                    release()
             if ids:
                 yield from flush(block, number, ids, parts)
 

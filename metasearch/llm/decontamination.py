@@ -25,7 +25,7 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metasearch.llm.base import U64, WordHashes, gram_hashes, in_batches, mix, rows_of, utf8
+from metasearch.llm.base import U64, WordHashes, gram_hashes, in_batches, mix, release, rows_of, utf8
 
 #: Words of all items in one broadcast block.
 ITEM_WORDS = 1_000_000
@@ -180,6 +180,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radi
             memo, own = WordHashes(), pickle.loads(shared.value)
             for batch in batches:
                 yield batch.filter(pa.array([not own.matches(memo.of(words_of(t)), least) for (t,) in rows_of(iter([batch]), "text")], pa.bool_()))
+            del memo, own
+            release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

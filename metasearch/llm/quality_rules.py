@@ -19,7 +19,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from metasearch.llm.base import in_batches, rows_of, small_batches, utf8
+from metasearch.llm.base import in_batches, release, rows_of, small_batches, utf8
 
 #: Symbols counted by n_symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -177,6 +177,8 @@ def passing(docs: DataFrame, model: str | None = None, rules: Rules | None = Non
         for batch in batches:
             texts = (t for (t,) in rows_of(iter([batch]), "text"))
             yield batch.filter(pa.array([measured(t, pieces, rules)[6] for t in texts], pa.bool_()))
+        del pieces
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
