@@ -116,7 +116,8 @@ class Join:
     def listed(self, sets: DataFrame) -> DataFrame:
         """(token, node, n, at): the shared shingles of each set's prefix and their positions, by frequency, then hash."""
         tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
-        often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        # written first: Spark splits a skewed join only if plain tables meet in it
+        often = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
         lists = tokens.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x"))
         alone = F.col("n") - F.size("x")
         lists = lists.withColumn("alone", alone).withColumn("take", (self.prefix(F.col("n")) - alone).cast("int")).filter("take > 0")
@@ -139,7 +140,7 @@ class Join:
         lists = self.listed(sets)
         # first the set that leads a list: the one with the fewest rare shingles
         lead = lists.groupBy("token").agg(F.min(F.struct("at", "node", "n")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-        near = lists.join(lead.select("token", F.col("p.node").alias("b"), F.col("p.n").alias("n2"), F.col("p.at").alias("at2")), "token")
+        near = lists.join(cut(lead).select("token", F.col("p.node").alias("b"), F.col("p.n").alias("n2"), F.col("p.at").alias("at2")), "token")
         near = near.filter(F.col("node") != F.col("b")).filter(self.passes("n", "at", "n2", "at2")).groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"))
         found = self.verified(near.groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", F.col("x.b").alias("b")), sets)
         # then all pairs between components, block by block
@@ -160,7 +161,7 @@ class Join:
         open_ = cut(classes.filter(F.col("single") < self.prefix(F.col("n"))).select("node", "r.doc_id", "r._k"))
         label = components(self.links(self.sets(open_)))
         known = classes.select("node", "r.id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        smallest = known.groupBy("label").agg(F.min("id").alias("component_id"))
+        smallest = cut(known.groupBy("label").agg(F.min("id").alias("component_id")))
         of = known.select("node", "label").join(smallest, "label").select("node", "component_id")
         rows = sized.join(of, "node", "left")
         return rows.select("doc_id", "_k", F.col("n").alias("n_shingles"), F.nullif(F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")), F.lit(LAST)).alias("component_id"))
