@@ -12,6 +12,7 @@ library does by default; repeated rows are encoded alike; an empty table gives n
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import pickle
@@ -64,13 +65,18 @@ class Splitter:
     """Words of a text, as the library's pre-tokenizer cuts them, special tokens apart."""
 
     def __init__(self, tokenizer: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(tokenizer)
+        self.tokenizer = tokenizer
         special = [t["content"] for t in json.loads(tokenizer)["added_tokens"]]
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.names = set(special)
 
+    @functools.cached_property
+    def library(self):  # noqa: ANN202
+        """Loaded for the first text that needs it: it takes tens of MB."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.tokenizer)
+
     def plain(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text):
             return PATTERN.findall(text)
