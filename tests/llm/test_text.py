@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -77,6 +78,27 @@ def test_quality_rules(spark, awkward):
     assert quality_rules.quality_rules(table(spark, [])).count() == 0
 
 
+CLEAN = {
+    "vi": "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hóa ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình anh em. Mọi người đều được hưởng tất cả những quyền và tự do nêu trong bản tuyên ngôn này, không phân biệt chủng tộc, màu da, giới tính, ngôn ngữ, tôn giáo, chính kiến hay quan điểm khác, nguồn gốc dân tộc hay xã hội, tài sản, thành phần xuất thân hay địa vị xã hội.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. Herkes, ırk, renk, cinsiyet, dil, din, siyasi veya diğer herhangi bir akide, milli veya içtimai menşe, servet, doğuş veya herhangi diğer bir fark gözetilmeksizin işbu beyannamede ilan olunan tekmil haklardan ve bütün hürriyetlerden istifade edebilir. Yaşamak, hürriyet ve kişi emniyeti her ferdin hakkıdır.",
+    "az": "Bütün insanlar ləyaqət və hüquqlarına görə azad və bərabər doğulurlar. Onların şüurları və vicdanları var və bir-birlərinə münasibətdə qardaşlıq ruhunda davranmalıdırlar. Hər bir insan irqinə, dərisinin rənginə, cinsinə, dilinə, dininə, siyasi və ya digər əqidəsinə, milli və ya sosial mənşəyinə, əmlak vəziyyətinə görə fərq qoyulmadan bu bəyannamədə elan olunmuş bütün hüquq və azadlıqlara malikdir. Hər kəsin yaşamaq, azad olmaq və şəxsi toxunulmazlıq hüququ vardır.",
+    "yo": "Gbogbo ènìyàn ni a bí ní òmìnira; iyì àti ẹ̀tọ́ kọ̀ọ̀kan sì dọ́gba. Wọ́n ní ẹ̀bùn ti làákàyè àti ti ẹ̀rí-ọkàn, ó sì yẹ kí wọn ó máa hùwà sí ara wọn gẹ́gẹ́ bí ọmọ ìyá. Ẹnì kọ̀ọ̀kan ló ní àǹfààní sí gbogbo ẹ̀tọ́ àti òmìnira tí a ti gbé kalẹ̀ nínú ìkéde yìí láìfi ti ọ̀rọ̀ ìyàtọ̀ ẹ̀yà kankan ṣe, ìyàtọ̀ bí i ti ẹ̀yà ènìyàn, àwọ̀, akọ-n̄-bábo, èdè, ẹ̀sìn, ètò ìṣèlú tàbí ìyàtọ̀ nípa èrò ẹni.",
+    "pinyin": "Rén rén shēng ér zì yóu, zài zūn yán hé quán lì shàng yí lǜ píng děng. Tā men fù yǒu lǐ xìng hé liáng xīn, bìng yīng yǐ xiōng dì guān xì de jīng shén xiāng duì dài. Rén rén yǒu zī gé xiǎng shòu běn xuān yán suǒ zài de yí qiè quán lì hé zì yóu, bù fēn zhǒng zú, fū sè, xìng bié, yǔ yán, zōng jiào, zhèng zhì huò qí tā jiàn jiě.",
+    "cy": "Genir pawb yn rhydd ac yn gydradd â'i gilydd mewn urddas a hawliau. Fe'u cynysgaeddir â rheswm a chydwybod, a dylai pawb ymddwyn y naill at y llall mewn ysbryd cymodlon. Y mae gan bawb hawl i'r holl hawliau a'r rhyddfreintiau a nodir yn y datganiad hwn, heb unrhyw wahaniaeth o gwbl, yn enwedig unrhyw wahaniaeth hil, lliw, rhyw, iaith, crefydd, barn boliticaidd neu unrhyw farn arall.",
+}
+
+
+def test_quality_rules_keep_clean_languages(spark):
+    """Thinly covered Latin-script languages, composed or not, stay; what no text has goes, and so do codes."""
+    r = random.Random(3)
+    clean = [unicodedata.normalize(form, t) for t in CLEAN.values() for form in ("NFC", "NFD")]
+    junk = [" ".join("".join(chr(r.randrange(a, b)) for _ in range(5)) for _ in range(120)) for a, b in ((0xE000, 0xF8FF), (0x50000, 0x5FFFF), (0xC0, 0x24F), (0x30, 0x3A))]
+    junk += [" ".join("%030x" % r.getrandbits(120) for _ in range(80)), CLEAN["vi"].encode().decode("latin-1")]
+    got = {x["doc_id"]: x["kept"] for x in quality_rules.quality_rules(table(spark, clean + junk)).collect()}
+    assert [d for d, kept in got.items() if kept] == list(range(len(clean)))
+    assert quality_rules.passing(table(spark, clean + junk)).count() == len(clean)
+
+
 def test_pieces_match_the_library():
     with open(quality_rules.default_model(), "rb") as f:
         pieces = quality_rules.Pieces(f.read())
