@@ -1,7 +1,7 @@
 """License scan with ordered signature rules, in SQL expressions only.
 
-A text becomes its words, lower-cased, joined by one space. Rules (hundreds of regular expressions over that form) belong to a keyword
-each; a rule runs only on texts that have its keyword, and a text without any keyword runs none. Detections are word spans. Rules
+A text becomes its words, lower-cased, joined by one space. Rules (hundreds of regular expressions over that form) have keywords, one for
+each name they take; a rule runs only on texts that have one of its keywords, and a text without any gate runs none. Detections are word spans. Rules
 carry a priority: a span contained in a span of the same or a higher priority is suppressed (of equal spans the earlier rule's stays),
 while partial overlaps all stay.
 
@@ -23,96 +23,106 @@ BASE = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: License families as (label, keyword, full name, short names, versions). Names are patterns over words.
+#: License families as (label, full name, short names, versions). Names are words without signs, so that each stands in what its rule matches.
 FAMILIES = [
-    ("agpl", "affero", "gnu affero general public license", "affero gpl|affero general public license", "1 0|3 0|3"),
-    ("agpl", "agpl", "agpl", "gnu agpl", "1 0|3 0|3"),
-    ("lgpl", "lesser", "gnu lesser general public license", "lesser general public license", "2 1|3 0|3"),
-    ("lgpl", "lgpl", "lgpl", "gnu lgpl", "2 0|2 1|2|3 0|3"),
-    ("lgpl", "library", "gnu library general public license", "library general public license", "2 0|2"),
-    ("gpl", "gnu", "gnu general public license", "gnu gpl", "1 0|1|2 0|2|3 0|3"),
-    ("gpl", "gpl", "gpl", "gplv", "1 0|1|2 0|2|3 0|3"),
-    ("gfdl", "documentation", "gnu free documentation license", "free documentation license", "1 1|1 2|1 3"),
-    ("apache", "apache", "apache license", "apache software license|asl", "1 0|1 1|2 0|2"),
-    ("mit", "mit", "mit license", "mit licence|mit expat license|expat license", "0"),
-    ("x11", "x11", "x11 license", "mit x11", "0"),
-    ("bsd", "bsd", "bsd license", "bsd licence|bsd style license|berkeley software distribution", "2 clause|3 clause|4 clause"),
-    ("isc", "isc", "isc license", "isc licence|internet systems consortium license", "0"),
-    ("mpl", "mozilla", "mozilla public license", "mozilla public licence", "1 0|1 1|2 0|2"),
-    ("mpl", "mpl", "mpl", "mozilla mpl", "1 0|1 1|2 0|2"),
-    ("epl", "eclipse", "eclipse public license", "eclipse public licence", "1 0|2 0"),
-    ("edl", "eclipse", "eclipse distribution license", "eclipse distribution licence", "1 0"),
-    ("cddl", "cddl", "cddl", "sun cddl", "1 0|1 1"),
-    ("cddl", "common", "common development and distribution license", "common development distribution license", "1 0|1 1"),
-    ("cpl", "common", "common public license", "ibm common public license", "1 0"),
-    ("ipl", "ibm", "ibm public license", "ibm public licence", "1 0"),
-    ("eupl", "eupl", "eupl", "eu pl", "1 0|1 1|1 2"),
-    ("eupl", "european", "european union public licence", "european union public license", "1 0|1 1|1 2"),
-    ("artistic", "artistic", "artistic license", "artistic licence|perl artistic", "1 0|2 0"),
-    ("zlib", "zlib", "zlib license", "zlib libpng license", "0"),
-    ("libpng", "libpng", "libpng license", "png reference library license", "2"),
-    ("boost", "boost", "boost software license", "boost license", "1 0"),
-    ("unlicense", "unlicense", "the unlicense", "unlicense", "0"),
-    ("wtfpl", "wtfpl", "wtfpl", "do what the fuck you want to public license", "2"),
-    ("python", "python", "python software foundation license", "psf license|python license", "2|2 0"),
-    ("php", "php", "php license", "php licence", "3 0|3 01"),
-    ("ruby", "ruby", "ruby license", "ruby licence", "0"),
-    ("perl", "perl", "perl license", "same terms as perl itself", "5"),
-    ("openssl", "openssl", "openssl license", "openssl ssleay license", "1 0"),
-    ("postgresql", "postgresql", "postgresql license", "postgresql licence", "0"),
-    ("ofl", "sil", "sil open font license", "sil ofl", "1 0|1 1"),
-    ("ofl", "font", "open font license", "open font licence", "1 0|1 1"),
-    ("ms-pl", "microsoft", "microsoft public license", "ms public license", "1 0"),
-    ("ms-rl", "microsoft", "microsoft reciprocal license", "ms reciprocal license", "1 0"),
-    ("ncsa", "ncsa", "ncsa open source license", "university of illinois ncsa", "0"),
-    ("ecl", "educational", "educational community license", "educational community licence", "1 0|2 0"),
-    ("afl", "academic", "academic free license", "academic free licence", "1 1|2 0|2 1|3 0"),
-    ("osl", "osl", "open software license", "osl", "1 0|2 0|2 1|3 0"),
-    ("vim", "vim", "vim license", "vim licence", "0"),
-    ("w3c", "w3c", "w3c software notice and license", "w3c license", "0"),
-    ("zpl", "zope", "zope public license", "zope public licence", "1 1|2 0|2 1"),
-    ("qpl", "q", "q public license", "qt public license", "1 0"),
-    ("npl", "netscape", "netscape public license", "netscape public licence", "1 0|1 1"),
-    ("sissl", "sun", "sun industry standards source license", "sun industry standards license", "1 1|1 2"),
-    ("upl", "universal", "universal permissive license", "universal permissive licence", "1 0"),
-    ("odbl", "database", "open database license", "odc odbl", "1 0"),
-    ("odc-by", "commons", "open data commons attribution license", "odc by", "1 0"),
-    ("pddl", "commons", "open data commons public domain dedication and license", "odc pddl", "1 0"),
-    ("cc0", "cc0", "cc0", "creative commons zero|creative commons cc0", "1 0"),
-    ("cc-by-nc-nd", "cc", "cc by nc nd", "creative commons attribution noncommercial noderivatives", "2 0|2 5|3 0|4 0"),
-    ("cc-by-nc-sa", "cc", "cc by nc sa", "creative commons attribution noncommercial sharealike", "2 0|2 5|3 0|4 0"),
-    ("cc-by-nc", "cc", "cc by nc", "creative commons by nc", "2 0|2 5|3 0|4 0"),
-    ("cc-by-nd", "cc", "cc by nd", "creative commons by nd", "2 0|2 5|3 0|4 0"),
-    ("cc-by-sa", "cc", "cc by sa", "creative commons by sa", "2 0|2 5|3 0|4 0"),
-    ("cc-by", "cc", "cc by", "creative commons by", "2 0|2 5|3 0|4 0"),
-    ("cc-by", "creative", "creative commons attribution", "creative commons attribution license", "2 0|2 5|3 0|4 0"),
-    ("proprietary", "reserved", "all rights reserved", "proprietary and confidential", "0"),
-    ("public-domain", "domain", "public domain", "released into the public domain|dedicated to the public domain", "0"),
+    ("agpl", "gnu affero general public license", "affero gpl|affero general public license", "1 0|3 0|3"),
+    ("agpl", "agpl", "gnu agpl", "1 0|3 0|3"),
+    ("lgpl", "gnu lesser general public license", "lesser general public license", "2 1|3 0|3"),
+    ("lgpl", "lgpl", "gnu lgpl", "2 0|2 1|2|3 0|3"),
+    ("lgpl", "gnu library general public license", "library general public license", "2 0|2"),
+    ("gpl", "gnu general public license", "gnu gpl", "1 0|1|2 0|2|3 0|3"),
+    ("gpl", "gpl", "gplv", "1 0|1|2 0|2|3 0|3"),
+    ("gfdl", "gnu free documentation license", "free documentation license", "1 1|1 2|1 3"),
+    ("apache", "apache license", "apache software license|asl", "1 0|1 1|2 0|2"),
+    ("mit", "mit license", "mit licence|mit expat license|expat license", "0"),
+    ("x11", "x11 license", "mit x11", "0"),
+    ("bsd", "bsd license", "bsd licence|bsd style license|berkeley software distribution", "2 clause|3 clause|4 clause"),
+    ("isc", "isc license", "isc licence|internet systems consortium license", "0"),
+    ("mpl", "mozilla public license", "mozilla public licence", "1 0|1 1|2 0|2"),
+    ("mpl", "mpl", "mozilla mpl", "1 0|1 1|2 0|2"),
+    ("epl", "eclipse public license", "eclipse public licence", "1 0|2 0"),
+    ("edl", "eclipse distribution license", "eclipse distribution licence", "1 0"),
+    ("cddl", "cddl", "sun cddl", "1 0|1 1"),
+    ("cddl", "common development and distribution license", "common development distribution license", "1 0|1 1"),
+    ("cpl", "common public license", "ibm common public license", "1 0"),
+    ("ipl", "ibm public license", "ibm public licence", "1 0"),
+    ("eupl", "eupl", "eu pl", "1 0|1 1|1 2"),
+    ("eupl", "european union public licence", "european union public license", "1 0|1 1|1 2"),
+    ("artistic", "artistic license", "artistic licence|perl artistic", "1 0|2 0"),
+    ("zlib", "zlib license", "zlib libpng license", "0"),
+    ("libpng", "libpng license", "png reference library license", "2"),
+    ("boost", "boost software license", "boost license", "1 0"),
+    ("unlicense", "the unlicense", "unlicense", "0"),
+    ("wtfpl", "wtfpl", "do what the fuck you want to public license", "2"),
+    ("python", "python software foundation license", "psf license|python license", "2|2 0"),
+    ("php", "php license", "php licence", "3 0|3 01"),
+    ("ruby", "ruby license", "ruby licence", "0"),
+    ("perl", "perl license", "same terms as perl itself", "5"),
+    ("openssl", "openssl license", "openssl ssleay license", "1 0"),
+    ("postgresql", "postgresql license", "postgresql licence", "0"),
+    ("ofl", "sil open font license", "sil ofl", "1 0|1 1"),
+    ("ofl", "open font license", "open font licence", "1 0|1 1"),
+    ("ms-pl", "microsoft public license", "ms public license", "1 0"),
+    ("ms-rl", "microsoft reciprocal license", "ms reciprocal license", "1 0"),
+    ("ncsa", "ncsa open source license", "university of illinois ncsa", "0"),
+    ("ecl", "educational community license", "educational community licence", "1 0|2 0"),
+    ("afl", "academic free license", "academic free licence", "1 1|2 0|2 1|3 0"),
+    ("osl", "open software license", "osl", "1 0|2 0|2 1|3 0"),
+    ("vim", "vim license", "vim licence", "0"),
+    ("w3c", "w3c software notice and license", "w3c license", "0"),
+    ("zpl", "zope public license", "zope public licence", "1 1|2 0|2 1"),
+    ("qpl", "q public license", "qt public license", "1 0"),
+    ("npl", "netscape public license", "netscape public licence", "1 0|1 1"),
+    ("sissl", "sun industry standards source license", "sun industry standards license", "1 1|1 2"),
+    ("upl", "universal permissive license", "universal permissive licence", "1 0"),
+    ("odbl", "open database license", "odc odbl", "1 0"),
+    ("odc-by", "open data commons attribution license", "odc by", "1 0"),
+    ("pddl", "open data commons public domain dedication and license", "odc pddl", "1 0"),
+    ("cc0", "cc0", "creative commons zero|creative commons cc0", "1 0"),
+    ("cc-by-nc-nd", "cc by nc nd", "creative commons attribution noncommercial noderivatives", "2 0|2 5|3 0|4 0"),
+    ("cc-by-nc-sa", "cc by nc sa", "creative commons attribution noncommercial sharealike", "2 0|2 5|3 0|4 0"),
+    ("cc-by-nc", "cc by nc", "creative commons by nc", "2 0|2 5|3 0|4 0"),
+    ("cc-by-nd", "cc by nd", "creative commons by nd", "2 0|2 5|3 0|4 0"),
+    ("cc-by-sa", "cc by sa", "creative commons by sa", "2 0|2 5|3 0|4 0"),
+    ("cc-by", "cc by", "creative commons by", "2 0|2 5|3 0|4 0"),
+    ("cc-by", "creative commons attribution", "creative commons attribution license", "2 0|2 5|3 0|4 0"),
+    ("proprietary", "all rights reserved", "proprietary and confidential", "0"),
+    ("public-domain", "public domain", "released into the public domain|dedicated to the public domain", "0"),
 ]
 #: A detection's confidence by priority: an SPDX tag, a grant, a name with its version, a full name, a short name.
 CONFIDENCE = {5: 1.0, 4: 0.95, 3: 0.9, 2: 0.8, 1: 0.5}
 GRANT = "(?:licensed|released|distributed|available|published|provided|covered) (?:under|by|with) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:a )?"
-#: A text can only have a detection if it has one of these.
-GATES = ["licen", " cc ", " cc0 ", "creative commons", "public domain", "rights reserved", "proprietary", "gpl", "spdx", "wtfpl", " mpl ", " cddl ", " eupl ", " asl ", " osl ", "mit x11", "odc ", "berkeley software", "university of illinois", "same terms as perl", "sil ofl"]
+#: A text can only have a detection if it has one of these: each name has one, whatever follows it.
+GATES = ["licen", " cc ", " cc0", "creative commons", "public domain", "rights reserved", "proprietary", "gpl", "spdx", "wtfpl", " mpl", " cddl", " eupl", " eu pl", " asl", " osl", "mit x11", "odc ", "berkeley software", "university of illinois", "same terms as perl", "perl artistic", "sil ofl"]
 
 
-def rules() -> list[tuple[int, str, str, int, str]]:
-    """(order, label, keyword, priority, pattern) of every rule. Patterns take one leading space and leave the one that follows."""
+def signatures() -> list[tuple[int, str, list[str], int, str]]:
+    """(order, label, keywords, priority, pattern) of every rule: a text without any of its keywords has no place of the pattern.
+
+    A rule's keywords are its names, each with the space before it. Patterns take one leading space and leave the one that follows.
+    """
     found = []
-    for label, keyword, full, short, versions in FAMILIES:
+    for label, full, short, versions in FAMILIES:
         names = f"(?:{full}|{short})"
+        tag = f"spdx license identifier {label.replace('-', ' ')}"
+        either = [full, *short.split("|")]
         versions = "" if versions == "0" else f"(?:,? ?(?:version|v)? ?(?:{versions}))"
-        for priority, pattern in (
-            (5, f"spdx license identifier {label.replace('-', ' ')}(?: (?:[0-9]+|only|or later|clause))*"),
-            (4, f"{GRANT}{names}{versions + '?' if versions else ''}"),
-            (3, f"{names}{versions}(?: or (?:any )?later(?: version)?)?" if versions else f"{names} (?:terms|text|notice|below)"),
-            (2, full),
-            (1, f"(?:{short})"),
+        for priority, words, pattern in (
+            (5, [tag], f"{tag}(?: (?:[0-9]+|only|or later|clause))*"),
+            (4, either, f"{GRANT}{names}{versions + '?' if versions else ''}"),
+            (3, either, f"{names}{versions}(?: or (?:any )?later(?: version)?)?" if versions else f"{names} (?:terms|text|notice|below)"),
+            (2, [full], full),
+            (1, either[1:], f"(?:{short})"),
         ):
-            found.append((len(found), label, "spdx" if priority == 5 else keyword if priority in (2, 3, 4) and keyword in full else "", priority, f" {pattern}(?= )"))
+            found.append((len(found), label, [f" {w}" for w in words], priority, f" {pattern}(?= )"))
     return found
 
 
+def rules() -> list[tuple[int, str, str, int, str]]:
+    """(order, label, keyword, priority, pattern) of every rule; the keyword is empty where a rule has several."""
+    return [(o, l, words[0] if len(words) == 1 else "", p, x) for o, l, words, p, x in signatures()]
+
+
 def spaces(s: Column) -> Column:
     return (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
 
@@ -145,8 +155,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     gate = None
     for word in GATES:
         gate = text.contains(word) if gate is None else gate | text.contains(word)
-    table = F.array(*[F.struct(F.lit(o).alias("rule"), F.lit(l).alias("label"), F.lit(k).alias("word"), F.lit(p).alias("priority"), F.lit(x).alias("pattern")) for o, l, k, p, x in rules()])
-    hit = F.filter(table, lambda r: F.contains(text, r["word"]) & F.regexp_like(text, r["pattern"]))
+    table = F.array(*[F.struct(F.lit(o).alias("rule"), F.lit(l).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.lit(p).alias("priority"), F.lit(x).alias("pattern")) for o, l, words, p, x in signatures()])
+    hit = F.filter(table, lambda r: F.exists(r["words"], lambda w: F.contains(text, w)) & F.regexp_like(text, r["pattern"]))
     found = F.flatten(F.transform(hit, lambda r: F.transform(spans(text, r["pattern"]), lambda s: F.struct(
         s["start"].alias("start"), (-s["end"]).alias("neg_end"), (-r["priority"]).alias("neg_priority"), r["rule"].alias("rule"), r["label"].alias("label")))))
     none = F.array().cast("array<struct<start:bigint,neg_end:bigint,neg_priority:int,rule:int,label:string>>")

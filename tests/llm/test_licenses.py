@@ -49,6 +49,37 @@ def test_base_and_method(spark, awkward):
         assert 0 <= r["score"] <= 1 and (r["score"] == 0) == (not kept and not want[1])
 
 
+NAMED = [
+    ("Licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 License", "cc-by-nc-sa", 0.95), ("Released under the ASL 2.0", "apache", 0.95),
+    ("Distributed under the Expat License", "mit", 0.95), ("under MPLv2", "mpl", 0.9), ("see MPL2 for this", "mpl", 0.9), ("EUPLv1.2", "eupl", 0.9), ("CDDLv1.0", "cddl", 0.9),
+    ("OSLv3.0", "osl", 0.9), ("ASL2", "apache", 0.9), ("CC0v1.0", "cc0", 0.9), ("EU-PL 1.2", "eupl", 0.9), ("the Perl Artistic 2.0", "artistic", 0.9),
+]
+
+
+def test_no_keyword_or_gate_hides_a_rule(spark):
+    """Every name, bare, granted, tagged and with its versions glued or apart: as all rules find it without keywords or gates."""
+    texts = [t for t, _, _ in NAMED]
+    for label, full, short, versions in licenses.FAMILIES:
+        for name in (full, *short.split("|")):
+            v = versions.split("|")[-1]
+            texts += [f"a {name} b", f"released under the {name} b", f"a {name}v{v} b", f"a {name}{v} b", f"a {name}, version {v} or later", f"a {name} terms"]
+        texts.append(f"SPDX-License-Identifier: {label}")
+    got = {r["doc_id"]: r for r in licenses.license_scan(table(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        padded = "x " + "".join(w + " " for w in WORD.findall(text.translate(LOW)))
+        found = []
+        for order, label, _, priority, pattern in licenses.rules():
+            for m in re.finditer(pattern, padded):
+                start = padded[: m.start()].count(" ")
+                found.append((start, -start - m[0].count(" "), -priority, order, label))
+        kept = [d for d in found if not any(e < d and e[1] <= d[1] and e[2] <= d[2] for e in found)]
+        want = {d[4] for d in kept} | {x for x in brute_base(text)[4].split(",") if x}
+        score = max((licenses.CONFIDENCE[-d[2]] for d in kept), default=0.5 if brute_base(text)[1] else 0.0)
+        assert (got[i]["labels"], got[i]["score"]) == (",".join(sorted(want)), score), text
+    for i, (text, label, score) in enumerate(NAMED):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == score, text
+
+
 def test_rules_are_ordered_and_plenty():
     rules = licenses.rules()
     assert len(rules) > 200 and [r[0] for r in rules] == list(range(len(rules)))
