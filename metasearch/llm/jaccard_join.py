@@ -155,12 +155,17 @@ class Join:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return found.unionByName(self.verified(pairs, sets))
 
-    def run(self) -> DataFrame:
+    def labelled(self) -> tuple[DataFrame, DataFrame]:
+        """Every row as sized() has it; and (node, r, label): each class, its smallest row and its component."""
         sized = self.sized()
         classes = sized.filter("n > 0").groupBy("node").agg(F.min(F.struct("id", "doc_id", "_k")).alias("r"), F.first("n").alias("n"), F.min("single").alias("single"))
         open_ = cut(classes.filter(F.col("single") < self.prefix(F.col("n"))).select("node", "r.doc_id", "r._k"))
         label = components(self.links(self.sets(open_)))
-        known = classes.select("node", "r.id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return sized, classes.select("node", "r").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def run(self) -> DataFrame:
+        sized, known = self.labelled()
+        known = known.select("node", "r.id", "label")
         smallest = cut(known.groupBy("label").agg(F.min("id").alias("component_id")))
         of = known.select("node", "label").join(smallest, "label").select("node", "component_id")
         rows = sized.join(of, "node", "left")
@@ -173,10 +178,20 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """``docs`` with all columns, one document of each component: the one with the smallest id."""
+    """``docs`` with all columns, one row of each component: of the smallest (id, text hash), and the smallest of that one's repeats.
+
+    Rows without words have no component and all stay.
+    """
     rows = keyed(docs, F.struct("*").alias("_row")).drop("text")
-    found = Join(keyed(docs), n, num, den).run()
-    gone = cut(found.filter("n_shingles > 0 and not (doc_id <=> component_id)").select("doc_id", "_k").distinct())
-    maybe, rest = shared.split_by(rows, gone)
-    stay = maybe.join(gone.select(F.col("doc_id").alias("_d"), F.col("_k").alias("_k2")), (F.col("_k") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti")
-    return stay.unionByName(rest).select("_row.*")
+    sized, known = Join(keyed(docs), n, num, den).labelled()
+    first = cut(known.groupBy("label").agg(F.min("r").alias("first")))
+    of = known.select("node", "label").join(first, "label").select("node", "first")
+    # a row for each (id, text): repeats are counted before they meet the others
+    each = sized.filter("n > 0").groupBy("node", "id", "doc_id", "_k").agg(F.count(F.lit(1)).alias("c"))
+    each = each.join(of, "node").withColumn("stays", (F.col("id") == F.col("first.id")) & (F.col("_k") == F.col("first._k")))
+    touched = cut(each.filter("not stays or c > 1").select("doc_id", "_k", "stays"))
+    maybe, rest = shared.split_by(rows, touched)
+    maybe = shared.with_rows(maybe, touched, "left")
+    # the smallest of the repeats, by partial aggregation
+    again = maybe.filter("stays").groupBy("doc_id", "_k").agg(F.min("_row").alias("_row"))
+    return maybe.filter("stays is null").select("_row").unionByName(rest.select("_row")).unionByName(again.select("_row")).select("_row.*")

@@ -188,6 +188,17 @@ def test_one_of_each_and_without_repeats(spark, awkward):
         assert words[d]["_k"] == "x" and n >= removed
 
 
+def test_one_of_each_leaves_one_row_of_a_group(spark):
+    """Null ids, repeated rows and near copies under one id; what only shares an id stays."""
+    copy, other, third = prose(50, 200), prose(51, 200), prose(52, 200)
+    near = [" ".join([*copy.split()[:-1], f"end{i}"]) for i in range(3)]
+    nulls = [" ".join([*other.split()[:-1], f"end{i}"]) for i in range(3)]
+    rows = [(7, copy), (7, copy), (7, copy), *[(7, t) for t in near], (9, copy), *[(None, t) for t in nulls], (None, other), (None, other), (7, third), (None, ""), (None, "")]
+    got = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(table(spark, rows)).collect()]
+    groups = [copy, *near], [other, *nulls], [third], [""]
+    assert [[d for d, t in got if t in g] for g in groups] == [[7], [None], [7], [None, None]]
+
+
 def test_empty(spark):
     none = table(spark, [])
     assert suffix_dedup.suffix_dedup(none).count() == substring_dedup.substring_dedup(none).count() == 0
