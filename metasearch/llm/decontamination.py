@@ -4,7 +4,10 @@ Words are runs of digits, letters a-z (lower-cased) and characters beyond ASCII.
 words (a shorter document is one window). A window's 128-bit SimHash over its words is looked up in tables of the items'
 fingerprints, cut into radius + 1 blocks: two fingerprints within the radius agree on one block at least, so the tables return every
 one of them. Candidates are verified by weighted Jaccard similarity of 5-word shingles (a shingle weighs as often as it occurs). Only windows
-that have a shingle of an item are fingerprinted: no other can reach a similarity above 0.
+with enough shingles of items of their size are fingerprinted: no other can reach the threshold.
+
+SimHash bounds no similarity, so the tables alone would lose windows (cut items, repeated words). In the same windows, the shingles shared with each item
+are counted for all starts at once; what reaches the threshold is reported whatever its Hamming distance, so no window is lost.
 
 Items are broadcast in blocks of at most ITEM_WORDS words; more items mean more blocks over the same documents, never a larger one.
 
@@ -31,7 +34,7 @@ from metasearch.llm.base import U64, WordHashes, gram_hashes, in_batches, mix, r
 ITEM_WORDS = 1_000_000
 SHINGLE = 5
 BITS = 128
-#: Hamming distance within which fingerprints are candidates. Of random windows edited down to a similarity of 0.8, all lay within 30.
+#: Hamming distance within which fingerprints are candidates. Windows beyond it are found by their shared shingles.
 RADIUS = 32
 SIMILARITY = 0.8
 #: Bytes that aren't part of a word become spaces; A-Z become lower case.
@@ -83,6 +86,11 @@ class Items:
         for n, i, p in zip(self.length, range(len(self.length)), self.prints, strict=True):
             for t, a, b in zip(self.tables[n], self.edges[:-1], self.edges[1:], strict=True):
                 t[p[a:b].tobytes()].append(i)
+        # shingle hash -> (item, how often it has it), by length of the items
+        self.holders: dict[int, dict[int, list[tuple[int, int]]]] = {n: defaultdict(list) for n in self.length}
+        for i, s in enumerate(self.shingles):
+            for h, n in Counter(s.tolist()).items():
+                self.holders[self.length[i]][h].append((i, n))
         # seeds: shingle hash -> lengths of the items that have it, by shingle size
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         by_size = defaultdict(list)
@@ -103,10 +111,37 @@ class Items:
             if near:
                 yield k, near
 
+    def shared(self, h: np.ndarray, hits: np.ndarray, starts: np.ndarray, n: int, own: int, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(item, starts, similarities) of the windows that reach ``least``, for items of n words. ``h``: the text's shingles, ``hits``: places
+        of those that items of n words have, ``own``: shingles of a window.
+
+        The k-th last occurrence of a shingle counts in a window if the item has k of it: each place counts for a run of starts.
+        """
+        places: dict[int, list[int]] = defaultdict(list)
+        for p, x in zip(hits.tolist(), h[hits].tolist(), strict=True):
+            places[x].append(p)
+        runs: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        for x, at in places.items():
+            at = np.array(at)
+            for i, k in self.holders[n][x]:
+                earlier = np.concatenate([np.full(min(k, len(at)), -1), at[:-k]])
+                runs[i].append((np.maximum(np.maximum(earlier, at - own) + 1, 0), at + 1))
+        for i, pairs in runs.items():
+            goal = own + len(self.shingles[i])
+            need = least * goal / (1 + least) - 1e-6
+            if sum(len(a) for a, _ in pairs) < need:
+                continue
+            first, last = np.sort(np.concatenate([a for a, _ in pairs])), np.sort(np.concatenate([b for _, b in pairs]))
+            both = np.searchsorted(first, starts, "right") - np.searchsorted(last, starts, "right")
+            sim = both / (goal - both)
+            good = sim >= least
+            if good.any():
+                yield i, starts[good], sim[good]
+
     def matches(self, w: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
         """(item, similarity, first word, words): the best window of each item that reaches ``least``."""
         # length of items -> how many hits begin and end to be in the window of each start
-        windows: dict[int, np.ndarray] = {}
+        windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size, (near, keys, lengths) in self.seeds.items():
             if len(w) < size:
                 continue
@@ -120,13 +155,22 @@ class Items:
             found = lengths[np.arange(len(each)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
             for n in np.unique(found).tolist():
                 at = hits[np.unique(each[found == n])]
-                change = windows.setdefault(n, np.zeros(len(w) + 2, np.int64))
+                change = np.zeros(len(w) + 2, np.int64)
+                windows[n] = change, h, at
                 np.add.at(change, np.maximum(0, at + size - n), 1)
                 np.add.at(change, np.minimum(at, max(0, len(w) - n)) + 1, -1)
         best: dict[int, tuple[float, int, int]] = {}
-        for n, change in windows.items():
-            starts = np.flatnonzero(np.cumsum(change) > 0)
+        for n, (change, h, hits) in windows.items():
             take = min(n, len(w))
+            size = min(SHINGLE, n)
+            # an overlap of least / (1 + least) of both sizes is needed; all shingles that items of n words have bound it
+            need = least * (take - size + 1 + n - size + 1) / (1 + least) - 1e-6
+            starts = np.flatnonzero(np.cumsum(change)[: len(w) - take + 1] >= max(need, 1))
+            if not len(starts):
+                continue
+            for i, at, sim in self.shared(h, hits, starts, n, take - size + 1, least):
+                top = int(np.argmax(sim))
+                best[i] = float(sim[top]), int(at[top]), take
             # runs of nearby windows, so that the votes of a long document are not all held at once
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > 4096) + 1):
                 for at in range(0, len(run), 4096):
@@ -139,7 +183,7 @@ class Items:
                         own = shingles(w[s : s + take], min(SHINGLE, n))
                         for i in near:
                             sim = similarity(own, self.shingles[i])
-                            if sim >= least and (i not in best or sim > best[i][0]):
+                            if sim >= least and (i not in best or (sim, -s) > (best[i][0], -best[i][1])):
                                 best[i] = sim, s, take
         return [(self.id[i], *x) for i, x in sorted(best.items())]
 

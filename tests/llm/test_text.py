@@ -54,6 +54,25 @@ def test_decontamination(spark, awkward):
     assert decontamination.contaminated(table(spark, texts), none).count() == 0 == decontamination.contaminated(table(spark, []), benchmark).count()
 
 
+def test_decontamination_finds_windows_beyond_the_radius():
+    """Items cut and padded with one repeated word, at one end or the other: as brute force over all windows."""
+    memo, far, found = WordHashes(), 0, 0
+    for k in range(30):
+        n = (60, 100, 200)[k % 3]
+        item = prose(2000 + k, n, 5000).split() if k % 5 else (prose(2000 + k, n - 20, 5000) + " 0" * 20).split()
+        cut = item[: n - (n - 4) // 9]
+        for text in (cut + ["0"] * n, ["0"] * n + item[n - len(cut) :], prose(k, 20).split() + cut + ["0", "1"] * n):
+            own = decontamination.Items([(k, " ".join(item)), (99, prose(1, n))], 32)
+            want = brute_matches(" ".join(text), [(k, " ".join(item))], 0.8)
+            got = own.matches(memo.of(decontamination.words_of(" ".join(text))), 0.8)
+            assert [(i, *m) for i, m in want.items()] == got
+            found += len(got)
+            for _, _, s, m in got:
+                w = memo.of(decontamination.words_of(" ".join(text)))[s : s + m]
+                far += int(((decontamination.bits_of(w).sum(0) > 0) != own.prints[0]).sum()) > 32
+    assert found > 60 and far > 10
+
+
 def test_blocks_find_all_within_the_radius():
     r, memo = np.random.default_rng(5), WordHashes()
     words = [[b"%d" % x for x in r.integers(0, 30, 8)] for _ in range(60)]
