@@ -9,9 +9,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from metasearch.llm import bpe, decontamination, language_id, quality_classifier, quality_rules
 from metasearch.llm.base import WordHashes
+from tests.conftest import DATA
 from tests.llm.conftest import prose, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -144,15 +146,58 @@ def test_language_id(spark, sf, awkward):
     assert language_id.language_id(table(spark, [])).count() == 0
 
 
-def test_quality_classifier(spark, sf):
+def test_quality_classifier(spark):
+    """On labels that no fit saw: above the majority and above what the views do without each other's labels."""
+    sf = str(DATA / "sf0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = F.pmod(F.xxhash64(F.col("doc_id") + 7), F.lit(4)) == 0
+    log = []
+    got = {x["doc_id"]: x for x in quality_classifier.quality_scores(docs, labels.filter(~out), log=log).collect()}
+    assert len(got) == docs.count() and all(0 <= x["score"] <= 1 and x["kept"] == (x["score"] >= 0.5 and x["toxic_score"] <= 0.5) for x in got.values())
+    test = labels.filter(out).collect()
+    for column, score, rare, majority, found in (("quality", "score", 0, 0.86, 0.9), ("toxic", "toxic_score", 1, 0.9, 0.7)):
+        y = np.array([x[column] for x in test])
+        called = np.array([got[x["doc_id"]][score] >= 0.5 for x in test])
+        assert abs(max(y.mean(), 1 - y.mean()) - majority) < 0.01 and (called == y).mean() > majority + 0.06
+        assert (called == y)[y == rare].mean() > found
+    # both views are told more than the labelled rows by the other, and the text view learns from it
+    told = {(x["round"], x["label"], x["view"]): sum(x["told"]) for x in log}
+    loss = {(x["round"], x["label"], x["view"]): x["loss"] for x in log}
+    assert told[1, 0, 0] > 1.5 * told[0, 0, 0] and told[1, 0, 1] > told[0, 0, 1] and told[1, 1, 1] > told[0, 1, 1]
+    assert loss[1, 0, 0] < loss[0, 0, 0]
+
+
+def test_quality_classifier_counts_all_rows(spark, sf):
+    """The counts of a pass against plain loops: each row that a view is sure of counts for the other, none is left out."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    told = quality_classifier.chosen(labels, 20_000)
+    rows, fit = quality_classifier.featured(docs, told), quality_classifier.Fit(confident=0.8)
+    first = quality_classifier.counted(rows, told, None, fit)
+    r = np.random.default_rng(2)
+    model = [quality_classifier.Model(views=[(r.normal(0, 0.3, n).astype(np.float32), np.array([1.0, 0.0])) for n in quality_classifier.SIZES]) for _ in (0, 1)]
+    second = quality_classifier.counted(rows, told, model, fit)
+    want = [np.zeros_like(first), np.zeros_like(first)]
+    for x in rows.collect():
+        own, f = told.get(x["doc_id"]), [np.frombuffer(x[v], np.int32) for v in ("text", "meta")]
+        for c in (0, 1):
+            for v, at in ((0, 0), (1, quality_classifier.SIZES[0])):
+                p = quality_classifier.sigmoid(model[c].views[1 - v][0][f[1 - v]].astype(float).sum())
+                for k in (0, 1):
+                    learn = own is not None and own[c] == k and not own[2 + c]
+                    sure = (own is None or own[c] is None) and (p >= 0.8 if k else p <= 0.2)
+                    for n, w in ((0, float(learn)), (1, float(learn) + 0.5 * sure)):
+                        want[n][c, k, at + f[v]] += w
+                        want[n][c, k, -2 + v] += w
+    assert np.allclose(first, want[0]) and np.allclose(second, want[1]) and second.sum() > first.sum() + 1000
+
+
+def test_quality_classifier_without_labels(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    got = {x["doc_id"]: x for x in quality_classifier.quality_scores(docs, labels).collect()}
-    assert len(got) == docs.count() and all(0 <= x["score"] <= 1 for x in got.values())
-    told = [(x["quality"], got[x["doc_id"]]["score"]) for x in labels.collect()]
-    assert np.mean([(s >= 0.5) == bool(q) for q, s in told]) > 0.8
     none = spark.createDataFrame([], labels.schema)
     assert {(x["score"], x["kept"]) for x in quality_classifier.quality_scores(docs, none).collect()} == {(0.5, True)}
     assert quality_classifier.quality_scores(docs.limit(0), labels).count() == 0
+    one = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    assert {(x["score"], round(x["toxic_score"], 3), x["kept"]) for x in quality_classifier.quality_scores(docs, one).collect()} == {(1.0, 0.333, True)}
 
 
 def test_quality_classifier_takes_nulls(spark, awkward):
