@@ -8,10 +8,13 @@ their prefixes. Three things keep the lists short:
   most documents end there, told by bits for a fixed part of the hash range (shared.py), without a row a shingle.
 * An index list is kept as blocks of (set size, position): the bound on the overlap is the same for a whole block, so one comparison
   skips it, and blocks are opened only if they pass.
-* Links found first (each set with the set that leads most of its lists) give components; sets of one component need no comparison with each
-  other, whatever the group's size, so its members stand as one block for all. Only pairs between components are opened and verified.
+* Links found first (each set with the set that leads most of its lists, its leader) give components; sets of one component need no comparison with each
+  other, whatever the group's size. Only pairs between components are opened.
+* Members' answers are derived from those of their leaders: two sets share at most what their leaders share and what each has beyond its leader. Leaders
+  of open blocks are compared once; their overlap answers whole blocks of members with one number each (the most that a member of
+  the block has beyond the leader; unshared shingles don't count). Only members that the bound leaves are compared themselves, and none between components that their leaders link.
 
-No link is lost: every pair that reaches the threshold is verified or already within one component.
+No link is lost: every pair that reaches the threshold is verified or already within one component. Sets are told apart by 128 bits of a hash, shingles by 64.
 
 Defined results: words lie between spaces, tabs and line ends, with A-Z lower-cased; fewer words than n make one shingle; a null or wordless text has an
 empty set and links with nothing; a null id counts as larger than all others; repeated rows are each returned; an empty table gives no rows.
@@ -30,9 +33,6 @@ from pyspark.sql import functions as F
 from metasearch.llm import shared
 from metasearch.llm.base import U64, WordHashes, cut, gram_hashes, in_batches, keyed, rows_of, utf8
 
-#: Stands for a null id inside the join.
-LAST = (1 << 63) - 1
-
 
 def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles."""
@@ -79,7 +79,7 @@ class Join:
         return size - upper(size, self.num, self.den) + 1
 
     def sized(self) -> DataFrame:
-        """doc_id, _k, node (class), n, single (unshared shingles seen) for every row."""
+        """doc_id, _k, digest (class: 16 bytes of a hash of the set), n, single (unshared shingles seen) for every row."""
         n, skip = self.n, (1 << self.skip) - 1
 
         def describe():  # noqa: ANN202
@@ -93,7 +93,7 @@ class Join:
 
         rows = shared.shared_keys(self.docs, describe, only_shared=False)
         return cut(rows.select(
-            F.coalesce("doc_id", F.lit(LAST)).alias("id"), "doc_id", "_k", F.xxhash64("extra").alias("node"),
+            "doc_id", "_k", F.substring("extra", 9, 16).alias("digest"),
             F.conv(F.hex(F.substring("extra", 1, 8)), 16, 10).cast("long").alias("n"), (F.col("n_keys") - F.col("n_shared")).alias("single")))
 
     def sets(self, classes: DataFrame) -> DataFrame:
@@ -114,26 +114,41 @@ class Join:
         return cut(shared.with_rows(maybe, classes).dropDuplicates(["node"]).select("node", "text").mapInArrow(run, "node bigint, n bigint, tokens array<bigint>"))
 
     def listed(self, sets: DataFrame) -> DataFrame:
-        """(token, node, n, at): the shared shingles of each set's prefix and their positions, by frequency, then hash."""
+        """(token, node, n, alone, at): the shared shingles of each set's prefix and their positions, by frequency, then hash; alone: how many are unshared."""
         tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
         # written first: Spark splits a skewed join only if plain tables meet in it
         often = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
         lists = tokens.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x"))
         alone = F.col("n") - F.size("x")
         lists = lists.withColumn("alone", alone).withColumn("take", (self.prefix(F.col("n")) - alone).cast("int")).filter("take > 0")
-        return cut(lists.select("node", "n", "alone", F.posexplode(F.expr("slice(x, 1, take)"))).select(F.col("col.token").alias("token"), "node", "n", (F.col("alone") + F.col("pos")).alias("at")))
+        return cut(lists.select("node", "n", "alone", F.posexplode(F.expr("slice(x, 1, take)"))).select(F.col("col.token").alias("token"), "node", "n", "alone", (F.col("alone") + F.col("pos")).alias("at")))
 
     def passes(self, n: str, at: str, n2: str, at2: str) -> Column:
         """The sizes fit, and what follows the positions is enough for the threshold."""
         big, small = F.greatest(n, n2), F.least(n, n2)
         return (small * self.den >= big * self.num) & (F.least(F.col(n) - F.col(at), F.col(n2) - F.col(at2)) >= required(F.col(n), F.col(n2), self.num, self.den))
 
-    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) that reach the threshold."""
+    def overlaps(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """``pairs`` (a, b) with na, nb and both: the sizes and the overlap of their sets."""
         first = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
         second = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-        both = pairs.join(first, "a").join(second, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
-        return cut(both.filter(F.col("both") * self.den >= (F.col("na") + F.col("nb") - F.col("both")) * self.num).select("a", "b"))
+        return cut(pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("both")))
+
+    def linked(self, overlaps: DataFrame) -> DataFrame:
+        """Those that reach the threshold."""
+        return overlaps.filter(F.col("both") * self.den >= (F.col("na") + F.col("nb") - F.col("both")) * self.num)
+
+    def led(self, lists: DataFrame, found: DataFrame) -> DataFrame:
+        """``lists`` with group (component), leader and far (how many shared shingles of the set its leader lacks, at most): the
+        nearer of the one it was linked with and that one's."""
+        label = components(found.select("a", "b"))
+        step = found.join(lists.select(F.col("node").alias("a"), "n", "alone").distinct(), "a").select("a", "b", (F.col("n") - F.col("alone") - F.col("both")).alias("far"))
+        next_ = step.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("far").alias("more"))
+        leaders = step.join(next_, "b", "left").select(F.col("a").alias("node"), F.least(
+            F.struct(F.col("far"), F.col("b").alias("leader")), F.when(F.col("c") != F.col("a"), F.struct((F.col("far") + F.col("more")).alias("far"), F.col("c").alias("leader")))).alias("l"))
+        known = cut(label.join(leaders, "node", "left"))
+        return cut(lists.join(known, "node", "left").select(
+            "token", "node", "n", "at", F.coalesce("label", "node").alias("group"), F.coalesce("l.leader", "node").alias("leader"), F.coalesce("l.far", F.lit(0)).alias("far")))
 
     def links(self, sets: DataFrame) -> DataFrame:
         """Edges between classes that connect all sets which links connect."""
@@ -142,34 +157,46 @@ class Join:
         lead = lists.groupBy("token").agg(F.min(F.struct("at", "node", "n")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1")
         near = lists.join(cut(lead).select("token", F.col("p.node").alias("b"), F.col("p.n").alias("n2"), F.col("p.at").alias("at2")), "token")
         near = near.filter(F.col("node") != F.col("b")).filter(self.passes("n", "at", "n2", "at2")).groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"))
-        found = self.verified(near.groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", F.col("x.b").alias("b")), sets)
-        # then all pairs between components, block by block
-        label = components(found)
-        placed = cut(lists.join(label, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label"))
-        blocks = placed.select("token", "group", "n", "at").distinct()
-        index = blocks.filter(F.col("at") <= F.col("n") - required(F.col("n"), F.col("n"), self.num, self.den)).select("token", F.col("group").alias("group2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
-        open_ = blocks.join(index, "token").filter("group <> group2 and n2 <= n").filter(self.passes("n", "at", "n2", "at2"))
-        left = placed.select("token", "group", "n", "at", F.col("node").alias("a"))
-        right = placed.select("token", F.col("group").alias("group2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("node").alias("b"))
-        pairs = open_.join(left, ["token", "group", "n", "at"]).join(right, ["token", "group2", "n2", "at2"])
+        found = self.linked(self.overlaps(near.groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", F.col("x.b").alias("b")), sets))
+        # then all pairs between components: blocks of members of one leader
+        placed = self.led(lists, found)
+        key = ["token", "group", "leader", "n", "at"]
+        blocks = placed.groupBy(*key).agg(F.max("far").alias("far"))
+        index = blocks.filter(F.col("at") <= F.col("n") - required(F.col("n"), F.col("n"), self.num, self.den)).select("token", *[F.col(c).alias(f"{c}2") for c in ("group", "leader", "n", "at", "far")])
+        least = required(F.col("n"), F.col("n2"), self.num, self.den)
+        open_ = cut(blocks.join(index, "token").filter("group <> group2 and n2 <= n").filter(self.passes("n", "at", "n2", "at2")))
+        ab = F.least("leader", "leader2").alias("a"), F.greatest("leader", "leader2").alias("b")
+        known = self.overlaps(open_.select(*ab).distinct(), sets)
+        first = self.linked(known).select("a", "b")
+        open_ = open_.withColumns({"a": ab[0], "b": ab[1]})
+        groups = F.least("group", "group2").alias("g"), F.greatest("group", "group2").alias("h")
+        done = open_.join(first, ["a", "b"]).select(*groups).distinct()
+        left_open = open_.join(known.select("a", "b", "both"), ["a", "b"]).filter(F.col("both") + F.col("far") + F.col("far2") >= least)
+        left_open = cut(left_open.withColumns({"g": groups[0], "h": groups[1]}).join(done, ["g", "h"], "left_anti").select(*key, "group2", "leader2", "n2", "at2", "both"))
+        left = placed.select(*key, F.col("node").alias("a"), F.col("far"))
+        right = placed.select("token", *[F.col(c).alias(f"{c}2") for c in ("group", "leader", "n", "at", "far")], F.col("node").alias("b"))
+        pairs = left_open.join(left, key).join(right, ["token", "group2", "leader2", "n2", "at2"]).filter(F.col("both") + F.col("far") + F.col("far2") >= least)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return found.unionByName(self.verified(pairs, sets))
+        return found.select("a", "b").unionByName(first).unionByName(self.linked(self.overlaps(pairs, sets)).select("a", "b"))
 
     def labelled(self) -> tuple[DataFrame, DataFrame]:
-        """Every row as sized() has it; and (node, r, label): each class, its smallest row and its component."""
+        """Every row as sized() has it; and (digest, r, label): each class, its smallest row and its component."""
         sized = self.sized()
-        classes = sized.filter("n > 0").groupBy("node").agg(F.min(F.struct("id", "doc_id", "_k")).alias("r"), F.first("n").alias("n"), F.min("single").alias("single"))
-        open_ = cut(classes.filter(F.col("single") < self.prefix(F.col("n"))).select("node", "r.doc_id", "r._k"))
-        label = components(self.links(self.sets(open_)))
-        return sized, classes.select("node", "r").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        classes = sized.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k")).alias("r"), F.first("n").alias("n"), F.min("single").alias("single"))
+        # classes that may link get numbers of their own: written at once, so each has one
+        open_ = cut(classes.filter(F.col("single") < self.prefix(F.col("n"))).select(F.monotonically_increasing_id().alias("node"), "digest", "r.doc_id", "r._k"))
+        label = components(self.links(self.sets(open_.drop("digest")))).withColumnRenamed("label", "component")
+        of = open_.select("node", "digest").join(label, "node", "left").select("digest", F.coalesce("component", "node").cast("string").cast("binary").alias("label"))
+        # a class that can't link is a component by itself, named by its digest (longer than any number)
+        return sized, classes.select("digest", "r").join(of, "digest", "left").withColumn("label", F.coalesce("label", F.concat(F.lit("digest").cast("binary"), "digest")))
 
     def run(self) -> DataFrame:
         sized, known = self.labelled()
-        known = known.select("node", "r.id", "label")
-        smallest = cut(known.groupBy("label").agg(F.min("id").alias("component_id")))
-        of = known.select("node", "label").join(smallest, "label").select("node", "component_id")
-        rows = sized.join(of, "node", "left")
-        return rows.select("doc_id", "_k", F.col("n").alias("n_shingles"), F.nullif(F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")), F.lit(LAST)).alias("component_id"))
+        known = known.select("digest", "r.doc_id", "label")
+        smallest = cut(known.groupBy("label").agg(F.min("doc_id").alias("component_id")))
+        of = known.select("digest", "label").join(smallest, "label").select("digest", "component_id")
+        rows = sized.join(of, "digest", "left")
+        return rows.select("doc_id", "_k", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -185,10 +212,10 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> Data
     rows = keyed(docs, F.struct("*").alias("_row")).drop("text")
     sized, known = Join(keyed(docs), n, num, den).labelled()
     first = cut(known.groupBy("label").agg(F.min("r").alias("first")))
-    of = known.select("node", "label").join(first, "label").select("node", "first")
+    of = known.select("digest", "label").join(first, "label").select("digest", "first")
     # a row for each (id, text): repeats are counted before they meet the others
-    each = sized.filter("n > 0").groupBy("node", "id", "doc_id", "_k").agg(F.count(F.lit(1)).alias("c"))
-    each = each.join(of, "node").withColumn("stays", (F.col("id") == F.col("first.id")) & (F.col("_k") == F.col("first._k")))
+    each = sized.filter("n > 0").groupBy("digest", "doc_id", "_k").agg(F.count(F.lit(1)).alias("c"))
+    each = each.join(of, "digest").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_k") == F.col("first._k")))
     touched = cut(each.filter("not stays or c > 1").select("doc_id", "_k", "stays"))
     maybe, rest = shared.split_by(rows, touched)
     maybe = shared.with_rows(maybe, touched, "left")

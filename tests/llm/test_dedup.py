@@ -166,6 +166,34 @@ def test_ngram_components(spark, awkward, n, num, den):
     assert rows_of(jaccard_join.ngram_components(table(spark, rows), n, num, den)) == brute_components(rows, n, num, den)
 
 
+def test_large_components_are_answered_by_their_leaders(spark, monkeypatch):
+    """Two components that share blocks but don't link, and a third that links with the first by its leaders: few sets are compared."""
+    r, common, n = random.Random(6), prose(60, 150).split(), 400
+    third = prose(63, 190).split()
+    rare = prose(65, 10).split()
+    bases = [common + prose(61, 25).split(), common + prose(62, 25).split(), third, third[:172] + prose(64, 17).split()]
+    texts = []
+    for base in bases:
+        texts.append(" ".join(base))
+        for i in range(n):
+            w = list(base)
+            w[r.randrange(len(w))] = f"edit{len(texts)}"
+            if i % 4 == 0:  # rarer than the rest: a shared passage that stands first in the lists of both
+                w[60:60] = rare
+            texts.append(" ".join(w))
+    compared, overlaps = [], jaccard_join.Join.overlaps
+
+    def counted(self, pairs, sets):
+        found = overlaps(self, pairs, sets)
+        compared.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard_join.Join, "overlaps", counted)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.ngram_components(table(spark, texts)).collect()}
+    assert [{got[i] for i in range(k * (n + 1), (k + 1) * (n + 1))} for k in range(4)] == [{0}, {n + 1}, {2 * n + 2}, {2 * n + 2}]
+    assert compared[1] > 0 and sum(compared) < 5 * len(texts), compared
+
+
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9] + [(3, 3)], "a long, b long")
     assert {(r["node"], r["label"]) for r in jaccard_join.components(edges).collect()} == {(i, i - i % 10) for i in range(40)}
