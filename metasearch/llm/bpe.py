@@ -4,7 +4,8 @@ Texts are split into words by the vocabulary's own pattern. Each map task number
 word numbers in order. The words go to word ranges, one row a (block, range); there each distinct word is encoded once, and each block is
 answered with its words' ids. Block and answers meet again, ids are joined back by position, and decoding joins each id with its piece.
 
-The tokenizer file is read on the driver; its text (bounded by the vocabulary) travels with the tasks.
+The tokenizer file is read on the driver; its text (bounded by the vocabulary) travels with the tasks. It must be a byte-level BPE without a normalizer,
+a prefix space or added tokens that strip or match single words only; another file is refused.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; special tokens' strings in a text become their ids, as the
 library does by default; repeated rows are encoded alike; an empty table gives no rows.
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metasearch.llm.base import in_batches, release, rows_of, small_batches
+from metasearch.llm.base import dealt, in_batches, release, rows_of, small_batches, tasks_for
 from metasearch.llm.shared import ranges, sha
 
 #: Words, and documents, of a block at most (a document is never split).
@@ -49,8 +50,25 @@ def byte_letters() -> dict[str, int]:
     return letters
 
 
-def pieces(tokenizer: str) -> list[bytes]:
-    """The bytes of each id."""
+def checked(tokenizer: str) -> str:
+    """The tokenizer's text, if it is one that splitting and decoding here follow."""
+    j = json.loads(tokenizer)
+    pre, decoder = j.get("pre_tokenizer") or {}, j.get("decoder") or {}
+    odd = [t["content"] for t in j.get("added_tokens", ()) if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+    for wrong, what in (
+        (j["model"].get("type") != "BPE" or j["model"].get("byte_fallback") or j["model"].get("continuing_subword_prefix") or j["model"].get("end_of_word_suffix"), "its model isn't a plain byte-level BPE"),
+        (j.get("normalizer") is not None, "it has a normalizer"),
+        (pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or decoder.get("type") != "ByteLevel", "it isn't split and decoded by bytes"),
+        (pre.get("add_prefix_space"), "it adds a space before the text"),
+        (odd, f"added tokens take more than their text: {odd[:3]}"),
+    ):
+        if wrong:
+            raise ValueError(f"this tokenizer isn't supported: {what}")
+    return tokenizer
+
+
+def pieces(tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
+    """The id-to-piece table: all pieces' bytes by id, and where each begins."""
     j, letters = json.loads(tokenizer), byte_letters()
     size = 1 + max([*j["model"]["vocab"].values(), *(t["id"] for t in j["added_tokens"])])
     found = [b""] * size
@@ -58,7 +76,7 @@ def pieces(tokenizer: str) -> list[bytes]:
         found[i] = bytes(map(letters.__getitem__, piece))
     for t in j["added_tokens"]:
         found[t["id"]] = t["content"].encode()
-    return found
+    return np.frombuffer(b"".join(found), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, size))])
 
 
 class Splitter:
@@ -113,9 +131,10 @@ def encoded(docs: DataFrame, path: str, finish: Callable[[np.ndarray, bytes], tu
     """One row a document: doc_id and what ``finish`` makes of its ids and of the bytes they decode to."""
     small_batches(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
-        own = f.read()
+        own = checked(f.read())
     tokenizer = docs.sparkSession.sparkContext.broadcast(own)
-    n_ranges = ranges(docs.sparkSession)
+    tasks = tasks_for(docs)
+    n_ranges = ranges(tasks)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(block: int, number: dict[str, int], ids: list, parts: list[np.ndarray]) -> Iterator[tuple]:
@@ -206,12 +225,13 @@ def encoded(docs: DataFrame, path: str, finish: Callable[[np.ndarray, bytes], tu
                     flat[at + np.arange(len(ids))] = ids
                 for doc, own in zip(docs, np.split(numbers, np.cumsum(counts)[:-1]), strict=True):
                     ids = gathered(flat, start, own)
-                    yield doc, *finish(ids, b"".join(map(piece.__getitem__, ids.tolist())))
+                    yield doc, *finish(ids, gathered(*piece, ids).tobytes())
 
         yield from in_batches(rows(), schema, 2048)
 
-    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, ROWS_DDL).select("block", "data").repartition("block")
-    answers = blocks.mapInArrow(words_of, ROWS_DDL).repartition("route").mapInArrow(encode, ROWS_DDL)
+    # a block is its map task's number, times 2**24, and its number there
+    blocks = dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, ROWS_DDL).select("block", "data"), F.shiftright("block", 24) + F.col("block").bitwiseAND(F.lit((1 << 24) - 1)), tasks)
+    answers = dealt(blocks.mapInArrow(words_of, ROWS_DDL), "route", tasks).mapInArrow(encode, ROWS_DDL)
     answers = answers.groupBy(F.col("block").alias("_block")).agg(F.collect_list("data").alias("answers"))
     return blocks.join(answers.hint("merge"), F.col("block") == F.col("_block"), "left").select("data", "answers").mapInArrow(place, ddl)
 
