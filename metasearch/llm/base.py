@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import pickle
+import re
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +20,10 @@ from pyspark.sql import functions as F
 MEMO_WORDS, MEMO_BYTES = 400_000, 64
 #: Rows of text in one Arrow batch, unless the session asks for fewer.
 BATCH_ROWS = 1000
-#: Most 64-bit words of a broadcast Bloom filter (16 MB).
-BLOOM_WORDS = 1 << 21
+#: Most 64-bit words of a broadcast Bloom filter (16 MB), and words in one of its rows.
+BLOOM_WORDS, BLOOM_ROW = 1 << 21, 1 << 10
+#: Bytes of text for each task of an exchange, where that makes more tasks than the session's setting.
+TASK_BYTES = 64 << 20
 
 U64 = np.uint64
 M1, M2, M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -42,11 +47,19 @@ def keyed(docs: DataFrame, *more: str | Column) -> DataFrame:
     return docs.select(id_.alias("doc_id"), F.xxhash64(id_, "text").alias("_k"), "text", *more)
 
 
+def quoted(name: str) -> str:
+    """A column name, whatever it has in it, for F.col."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_dir(spark: SparkSession) -> None:
-    """checkpoint() goes to the folder that the cluster names; a folder of our own only where none is named."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    """checkpoint() goes to the folder that the cluster names. On one machine, where none is named, to a folder of our own."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -134,8 +147,27 @@ def in_batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 512, most_b
     release()
 
 
+def tasks_for(docs: DataFrame) -> int:
+    """Tasks of an exchange of what is made from the texts of ``docs``: the session's shuffle partitions, or more for more text."""
+    n = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_BYTES))
+
+
+def dealt(df: DataFrame, to: str | Column, tasks: int) -> DataFrame:
+    """``df`` over ``tasks`` partitions by ``to`` (long) modulo their number: numbers in a row go to different tasks."""
+    return df.repartitionById(tasks, F.pmod(F.col(to) if isinstance(to, str) else to, F.lit(tasks)).cast("int"))
+
+
+def packed(x: object) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x))
+
+
+def unpacked(data: bytes) -> object:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+
+
 def bloom(keys: DataFrame, key: Column) -> tuple[DataFrame, int]:
-    """One-hash Bloom filter over ``key`` (long): (_w, _bits) rows, at most BLOOM_WORDS, and its width in bits.
+    """One-hash Bloom filter over ``key`` (long): rows (_w, _bits) of BLOOM_ROW words each, BLOOM_WORDS words at most, and its width in bits.
 
     Its size follows the count of keys up to that bound; beyond it more rows pass, none is lost.
     """
@@ -144,16 +176,20 @@ def bloom(keys: DataFrame, key: Column) -> tuple[DataFrame, int]:
     while words < BLOOM_WORDS and words * 64 < 24 * n:
         words *= 2
     bit = F.pmod(key, F.lit(words * 64))
-    return keys.select((bit / 64).cast("long").alias("_w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits")), words * 64
+    each = keys.select((bit / 64).cast("int").alias("_i"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("_b")).groupBy("_i").agg(F.bit_or("_b").alias("_b"))
+    row = each.groupBy((F.col("_i") / BLOOM_ROW).cast("int").alias("_w")).agg(F.map_from_entries(F.collect_list(F.struct(F.pmod("_i", F.lit(BLOOM_ROW)).alias("k"), F.col("_b").alias("v")))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(min(words, BLOOM_ROW) - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0).cast("long")))
+    return row.select("_w", dense.alias("_bits")), words * 64
 
 
 def bloom_mark(rows: DataFrame, key: Column, filter_: tuple[DataFrame, int], name: str) -> DataFrame:
     """Adds a boolean: false means that the key is surely none of the filter's. The filter is broadcast: its rows are bounded."""
     words, bits = filter_
     bit = F.pmod(key, F.lit(bits))
+    word = F.get("_bits", F.pmod((bit / 64).cast("int"), F.lit(BLOOM_ROW)))
     return (
-        rows.withColumn("_w", (bit / 64).cast("long"))
+        rows.withColumn("_w", (bit / (64 * BLOOM_ROW)).cast("int"))
         .join(F.broadcast(words), "_w", "left")
-        .withColumn(name, F.coalesce(F.call_function("shiftrightunsigned", F.col("_bits"), F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False)))
+        .withColumn(name, F.coalesce(F.call_function("shiftrightunsigned", word, F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False)))
         .drop("_w", "_bits")
     )

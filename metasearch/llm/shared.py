@@ -8,7 +8,8 @@ keys themselves are never joined back: a document learns a bit for each of its k
 Batches follow the order of the input's partitions. So that a task that is run again makes the same ones, the input should be a stored table or
 a checkpoint, not the far side of an exchange.
 
-Keys with HOT or more occurrences are told apart by a second bit, the same for every document: callers spread their groups more finely.
+Keys with HOT or more occurrences are told apart by a second bit, the same for every document: callers spread their groups more finely. The number of
+tasks and ranges follows the bytes of text, so what meets in one task stays the same while the data grows.
 
 Keys are compared by a fingerprint of 40 bits or more: a marked key may rarely be single, a shared one is never missed. Callers verify.
 """
@@ -16,8 +17,6 @@ Keys are compared by a fingerprint of 40 bits or more: a marked key may rarely b
 from __future__ import annotations
 
 import hashlib
-import pickle
-import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metasearch.llm.base import U64, bloom, bloom_mark, cut, in_batches, rows_of
+from metasearch.llm.base import U64, bloom, bloom_mark, cut, dealt, in_batches, packed, rows_of, tasks_for, unpacked
 
 #: Keys, and documents, of a batch at most (a document is never split).
 BATCH_KEYS, BATCH_DOCS = 1 << 20, 1 << 15
@@ -38,19 +37,22 @@ PACK_DDL = "route bigint, batch bigint, meta boolean, data binary"
 MARKS = pa.schema([("doc_id", pa.int64()), ("_k", pa.int64()), ("extra", pa.binary()), ("n_keys", pa.int64()), ("n_shared", pa.int64()), ("marks", pa.binary()), ("hot", pa.binary())])
 
 
-def ranges(spark) -> int:
-    """Key ranges: a power of two that grows with the shuffle partitions, so with the cluster's setting for its data."""
-    return 1 << max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+def ranges(tasks: int) -> int:
+    """Key ranges for so many tasks: a power of two. What lies in 4 to 8 of them meets in one task."""
+    return 1 << min(17, max(8, (4 * tasks - 1).bit_length()))
 
 
-def shared_keys(docs: DataFrame, describe: Callable[[], Callable[[str | None], tuple[np.ndarray, bytes]]], only_shared: bool = True) -> DataFrame:
+def shared_keys(docs: DataFrame, describe: Callable[[], Callable[[str | None], tuple[np.ndarray, bytes]]], only_shared: bool = True, tasks: int | None = None) -> DataFrame:
     """doc_id, _k, extra, n_keys, n_shared, marks, hot (bits, least first; hot is null if none is) for rows of (doc_id, _k, text).
 
     Keys should lie evenly over 64 bits. ``describe()`` is called once a task and gives the function from a text to its keys and some bytes to keep. A key counts as shared
     if it occurs twice or more among all documents, also within one. ``only_shared`` leaves out documents without a shared key.
     """
-    n_ranges = ranges(docs.sparkSession)
+    tasks = tasks or tasks_for(docs)
+    n_ranges = ranges(tasks)
     bits = n_ranges.bit_length() - 1
+    # a pack holds 32 keys of a range or more
+    batch_keys = max(BATCH_KEYS, 32 * n_ranges)
 
     def flush(batch: int, held: list[tuple]) -> Iterator[tuple]:
         sizes = np.array([len(k) for _, _, k, _ in held], np.int64)
@@ -73,7 +75,7 @@ def shared_keys(docs: DataFrame, describe: Callable[[], Callable[[str | None], t
             if a < b:
                 yield r, batch, False, prints[a:b].tobytes() + place[a:b].tobytes() + often[a:b].tobytes()
         meta = [d for d, *_ in held], [k for _, k, *_ in held], [e for *_, e in held], sizes, np.packbits(marks, bitorder="little"), repeats if only_shared else None
-        yield n_ranges + batch, batch, True, zlib.compress(pickle.dumps(meta), 1)
+        yield n_ranges + batch, batch, True, packed(meta)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -83,7 +85,7 @@ def shared_keys(docs: DataFrame, describe: Callable[[], Callable[[str | None], t
                 keys, extra = describe_(text)
                 held.append((doc, k, keys, extra))
                 n += len(keys)
-                if n >= BATCH_KEYS or len(held) >= BATCH_DOCS:
+                if n >= batch_keys or len(held) >= BATCH_DOCS:
                     yield from flush(batch, held)
                     batch, held, n = batch + 1, [], 0
             if held:
@@ -130,7 +132,7 @@ def shared_keys(docs: DataFrame, describe: Callable[[], Callable[[str | None], t
                 else:
                     places[batch].append(np.frombuffer(data, np.int64))
             for batch, data in metas.items():
-                docs, ks, extras, sizes, marks, repeats = pickle.loads(zlib.decompress(data))
+                docs, ks, extras, sizes, marks, repeats = unpacked(data)
                 marks = np.unpackbits(marks, count=int(sizes.sum()), bitorder="little").astype(bool)
                 hot = np.zeros(len(marks), bool)
                 for p in places.pop(batch, ()):
@@ -148,9 +150,10 @@ def shared_keys(docs: DataFrame, describe: Callable[[], Callable[[str | None], t
 
         yield from in_batches(rows(), MARKS)
 
-    packed = docs.select("doc_id", "_k", "text").mapInArrow(pack, PACK_DDL)
-    met = packed.repartition("route").mapInArrow(meet, PACK_DDL)
-    return met.repartition("batch").mapInArrow(answer, "doc_id bigint, _k bigint, extra binary, n_keys bigint, n_shared bigint, marks binary, hot binary")
+    packs = docs.select("doc_id", "_k", "text").mapInArrow(pack, PACK_DDL)
+    met = dealt(packs, "route", tasks).mapInArrow(meet, PACK_DDL)
+    # a batch is its map task's number, times 2**24, and its number there
+    return dealt(met, F.shiftright("batch", 24) + F.col("batch").bitwiseAND(F.lit((1 << 24) - 1)), tasks).mapInArrow(answer, "doc_id bigint, _k bigint, extra binary, n_keys bigint, n_shared bigint, marks binary, hot binary")
 
 
 def bits_of(marks: bytes | None, n: int) -> np.ndarray:

@@ -3,9 +3,10 @@
 A window is ``window`` consecutive words of one document (words lie between spaces, tabs and line ends). Each window has a minimizer,
 its smallest 7-word gram; windows in a row that share one make a segment. Equal windows have equal minimizers, so segments whose
 minimizer occurs nowhere else are left out, and the others meet in the shard of their minimizer. Equal segments collapse before and after the exchange.
-A shard's distinct segments become an FM-index: a BWT ordered by the first ``window`` words and more, in a wavelet
-matrix of packed bits with block counts. Segments are streamed against it: backward search gives each end's match length up to the window
-and the interval of its occurrences; where the length is reached and the interval holds a smaller doc_id, the window is removed.
+A shard's distinct segments become a compressed FM-index: a BWT ordered by the first ``window`` words and more, in a wavelet
+matrix whose runs of equal bits take no space, and no suffix order beside it. Segments are streamed against it: backward search gives each end's
+match length up to the window and the interval of its occurrences; where the length is reached and the interval's smallest doc_id (one number a window
+that occurs twice) is smaller, the window is removed.
 
 A minimizer with thousands of occurrences would send them all to one shard. Its windows are sent one by one instead, each by its own
 hash, after equal ones have collapsed; all tasks know the same minimizers as hot.
@@ -18,8 +19,6 @@ each other; texts shorter than a window lose nothing; an empty table gives no ro
 
 from __future__ import annotations
 
-import pickle
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,9 +27,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from metasearch.llm import shared
-from metasearch.llm.base import U64, WordHashes, cut, gram_hashes, in_batches, keyed, mix, release, rows_of, utf8
+from metasearch.llm.base import U64, WordHashes, cut, dealt, gram_hashes, in_batches, keyed, mix, packed, quoted, release, rows_of, tasks_for, unpacked, utf8
 
 WINDOW, GRAM = 13, 7
 #: Bytes of segments that one map task holds before it sends them on.
@@ -40,37 +40,78 @@ NO_ID = -(1 << 63)
 PIECE = 1 << 20
 #: Windows searched at a time.
 CHUNK = 1 << 17
+#: Blocks of 64 bits whose counts are told from one number.
+GROUP = 32
 
 
 class Bits:
-    """A packed bit array with counts a 64-bit block: rank in constant time."""
+    """A compressed bit array with counts: rank in constant time. Blocks of 64 bits that are all 0 or all 1 (a BWT has long runs) keep no bits; counts
+    are small numbers within groups of GROUP blocks."""
 
     def __init__(self, bits: np.ndarray) -> None:
-        padded = np.zeros(-(-(len(bits) + 1) // 64) * 64, bool)
+        n = -(-(len(bits) + 1) // (64 * GROUP)) * GROUP
+        padded = np.zeros(64 * n, bool)
         padded[: len(bits)] = bits
-        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]]).astype(np.int32)
-        self.ones = int(bits.sum())
+        words = np.packbits(padded, bitorder="little").view(np.uint64)
+        count = np.bitwise_count(words)
+        mixed = (count > 0) & (count < 64)
+        self.count, self.words = count.astype(np.uint8), np.append(words[mixed], U64(0))
+        self.group, self.within = self._before(count.astype(np.int64), np.uint16)
+        self.slot_group, self.slot = self._before(mixed.astype(np.int64), np.uint8)
+        self.ones = int(count.sum())
+
+    @staticmethod
+    def _before(x: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """Sums before each block: of its group, and within the group."""
+        before = np.concatenate([[0], np.cumsum(x)[:-1]])
+        return before[::GROUP].astype(np.int32), (before - np.repeat(before[::GROUP], GROUP)).astype(kind)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.count, self.words, self.group, self.within, self.slot_group, self.slot))
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each place."""
-        block, bit = at >> 6, (at & 63).astype(np.uint64)
-        return self.before[block] + np.bitwise_count(self.words[block] & ((U64(1) << bit) - U64(1)))
+        block, bit = at >> 6, at & 63
+        group, count = block // GROUP, self.count[block]
+        some = self.words[self.slot_group[group] + self.slot[block]] & ((U64(1) << bit.astype(np.uint64)) - U64(1))
+        inside = np.where(count == 64, bit, np.where(count == 0, 0, np.bitwise_count(some)))
+        return self.group[group].astype(np.int64) + self.within[block] + inside
 
 
 class FMIndex:
-    """Counts and places of patterns up to ``depth`` symbols in a sequence of symbols (0 separates)."""
+    """Counts of patterns up to ``depth`` symbols in a sequence of symbols (0 separates), and what the occurrences of patterns of ``length`` symbols
+    have least in common: the smallest of their ``values``.
 
-    def __init__(self, text: np.ndarray, depth: int) -> None:
-        n, rank, length = len(text), np.unique(text, return_inverse=True)[1].astype(np.int64), 1
-        while length < depth:
+    The BWT lies in a wavelet matrix of compressed bits. The suffix order is dropped once the index is built; in its place stand a bit for
+    each suffix that begins another pattern of ``length`` symbols, and one value a pattern that occurs twice or more.
+    """
+
+    def __init__(self, text: np.ndarray, depth: int, length: int = 0, values: np.ndarray | None = None) -> None:
+        n, rank, sorted_ = len(text), np.unique(text, return_inverse=True)[1].astype(np.int64), 1
+        alike = None
+        while sorted_ < depth:
             shifted = np.zeros(n, np.int64)
-            shifted[: n - length] = rank[length:] + 1
+            shifted[: n - sorted_] = rank[sorted_:] + 1
             rank = np.unique(rank * (n + 2) + shifted, return_inverse=True)[1].astype(np.int64)
-            length *= 2
-        self.order = np.argsort(rank, kind="stable")
+            sorted_ *= 2
+        order = np.argsort(rank, kind="stable")
         self.size = n
-        bwt = text[self.order - 1]
+        if values is not None:
+            # suffixes in a row that agree in ``length`` symbols
+            alike = np.zeros(n, bool)
+            at, before = order[1:], order[:-1]
+            same = np.arange(1, n)
+            for i in range(length):
+                ok = (at + i < n) & (before + i < n)
+                ok[ok] = text[at[ok] + i] == text[before[ok] + i]
+                same, at, before = same[ok], at[ok], before[ok]
+            alike[same] = True
+            starts = np.flatnonzero(~alike)
+            several = np.diff(np.append(starts, n)) > 1
+            self.begins, self.repeats = Bits(~alike), Bits(several)
+            self.least = np.minimum.reduceat(values[order], starts)[several]
+        bwt = text[order - 1]
         symbols = int(text.max()) + 1
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
         self.levels = []
@@ -81,6 +122,15 @@ class FMIndex:
             row = np.concatenate([row[~bit], row[bit]])
         self.base = self._walk(np.arange(symbols), np.zeros(symbols, np.int64))
 
+    @property
+    def nbytes(self) -> int:
+        """What the index keeps."""
+        return sum(bits.nbytes for _, bits, _ in self.levels) + self.starts.nbytes + self.base.nbytes + sum(x.nbytes for x in (self.begins, self.repeats, self.least))
+
+    def least_of(self, lo: np.ndarray) -> np.ndarray:
+        """The least value of each pattern of ``length`` symbols that occurs twice or more, from where its interval begins."""
+        return self.least[self.repeats.rank(self.begins.rank(lo))]
+
     def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for shift, bits, zeros in self.levels:
             ones = bits.rank(at)
@@ -129,21 +179,18 @@ def earlier_windows(segments: list[tuple[bytes, int]], window: int) -> Iterator[
     rows = [np.array([number.setdefault(x, len(number) + 1) for x in s.split()] + [0]) for s, _ in segments]
     sizes = np.array([len(r) for r in rows])
     text, start = np.concatenate(rows), np.concatenate([[0], np.cumsum(sizes)])
-    index = FMIndex(text, window + 1)
     owner = np.repeat(np.arange(len(rows)), sizes)
     ids = np.array([d for _, d in segments])
-    id_at = np.concatenate([ids[owner[index.order]], [np.iinfo(np.int64).max]])
+    index = FMIndex(text, window + 1, window, ids[owner])
     inside = np.arange(len(text)) - start[owner]
     ends = np.flatnonzero((inside >= window - 1) & (text > 0))
     hit = np.zeros(len(ends), bool)
+    # the documents' segments are streamed against the index, some windows at a time
     for at in range(0, len(ends), CHUNK):
         part = ends[at : at + CHUNK]
-        length, lo, hi = index.matching_statistics(text, part, window, 2)
+        length, lo, _ = index.matching_statistics(text, part, window, 2)
         full = np.flatnonzero(length >= window)
-        # intervals of one length never overlap: each is read once, however many windows share it
-        each, first, which = np.unique(lo[full], return_index=True, return_inverse=True)
-        least = np.minimum.reduceat(id_at, np.stack([each, hi[full][first]], axis=1).ravel())[::2] if len(each) else each
-        hit[at + full] = least[which] < ids[owner[part[full]]]
+        hit[at + full] = index.least_of(lo[full]) < ids[owner[part[full]]]
     ends = ends[hit]
     if not len(ends):
         return
@@ -152,9 +199,9 @@ def earlier_windows(segments: list[tuple[bytes, int]], window: int) -> Iterator[
         yield s, own
 
 
-def spans_of(marked: DataFrame, window: int) -> DataFrame:
+def spans_of(marked: DataFrame, window: int, tasks: int) -> DataFrame:
     """doc_id, _k, spans of removed words (joined, of one task's view) for rows with text and marks."""
-    bits = shared.ranges(marked.sparkSession).bit_length() - 1
+    bits = shared.ranges(tasks).bit_length() - 1
     schema = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("_k", pa.int64()), ("spans", pa.binary())])
     ddl = "shard bigint, doc_id bigint, _k bigint, spans binary"
 
@@ -187,7 +234,7 @@ def spans_of(marked: DataFrame, window: int) -> DataFrame:
             for (anchor, words), own in windows.items():
                 by_shard[anchor >> (64 - bits)].append((anchor, words, *own))
             for s, rows in by_shard.items():
-                yield s, None, None, zlib.compress(pickle.dumps(rows), 1)
+                yield s, None, None, packed(rows)
             for doc, k, spans in shared.span_rows(removed):
                 yield None, doc, k, spans
 
@@ -221,7 +268,7 @@ def spans_of(marked: DataFrame, window: int) -> DataFrame:
                 _, parts = shards.popitem()
                 held, removed = {}, defaultdict(list)
                 while parts:
-                    for anchor, words, doc, places in pickle.loads(zlib.decompress(parts.pop())):
+                    for anchor, words, doc, places in unpacked(parts.pop()):
                         collapse(held, (anchor, words), doc, places, removed)
                 by_anchor = defaultdict(list)
                 for (anchor, words), own in held.items():
@@ -238,8 +285,7 @@ def spans_of(marked: DataFrame, window: int) -> DataFrame:
     # in a fixed order: a task that is run again after an executor's loss makes the same batches
     marked = marked.select("doc_id", "_k", "text", "n_keys", "marks", "hot").sortWithinPartitions("doc_id", "_k")
     # removed spans have no shard: they are dealt out by document
-    sent = marked.mapInArrow(gather, ddl).withColumn("_to", F.coalesce("shard", F.col("_k")))
-    return sent.repartition("_to").drop("_to").mapInArrow(search, shared.SPANS_DDL)
+    return dealt(marked.mapInArrow(gather, ddl), F.coalesce("shard", F.col("_k")), tasks).mapInArrow(search, shared.SPANS_DDL)
 
 
 def with_removed(docs: DataFrame, window: int) -> DataFrame:
@@ -249,9 +295,10 @@ def with_removed(docs: DataFrame, window: int) -> DataFrame:
         memo = WordHashes()
         return lambda text: (anchors(memo.of(utf8(text).split()), window)[0], b"")
 
-    marks = cut(shared.shared_keys(docs, describe).drop("extra").dropDuplicates(["doc_id", "_k"]))
+    tasks = tasks_for(docs)
+    marks = cut(shared.shared_keys(docs, describe, tasks=tasks).drop("extra").dropDuplicates(["doc_id", "_k"]))
     maybe, _ = shared.split_by(docs.select("doc_id", "_k", "text"), marks)
-    return shared.with_spans(docs, spans_of(shared.with_rows(maybe, marks), window))
+    return shared.with_spans(docs, spans_of(shared.with_rows(maybe, marks), window, tasks))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -280,7 +327,7 @@ def pairs_between(spans: np.ndarray, n: int) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with all columns; texts lose the repeated words (a changed text has one space between words), and n_chars follows."""
     others = [c for c in docs.columns if c != "text"]
-    rows = keyed(docs, F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"))
+    rows = keyed(docs, F.struct(*[F.col(quoted(c)) for c in others]).alias("_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,6 +339,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], ["_row", "text"])
 
-    done = with_removed(rows, window).select("_row", "text", "_spans").mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, text string")
+    done = with_removed(rows, window).select("_row", "text", "_spans").mapInArrow(run, StructType([rows.schema["_row"], StructField("text", StringType())]))
     columns = [F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns]
     return done.select(*columns)

@@ -19,8 +19,6 @@ Defined results: a null text has no bytes; null ids come before all others; rows
 
 from __future__ import annotations
 
-import pickle
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metasearch.llm import shared
-from metasearch.llm.base import M1, U64, cut, in_batches, keyed, mix, release, rows_of, utf8
+from metasearch.llm.base import M1, U64, cut, dealt, in_batches, keyed, mix, packed, release, rows_of, tasks_for, unpacked, utf8
 
 LENGTH, GRAM = 100, 32
 #: Bytes of segments that one map task holds before it sorts them into runs.
@@ -39,6 +37,8 @@ HELD = 12 << 20
 #: Starts of strings looked at a time, so that a very long text needs little memory.
 PIECE = 1 << 20
 NO_ID = -(1 << 63)
+#: Bytes that one comparison takes up at a time.
+STEP = 16
 
 
 def gram_keys(data: np.ndarray) -> np.ndarray:
@@ -84,41 +84,66 @@ def front_coded(entries: list[tuple], length: int) -> bytes:
     lcp[0] = 0
     tails = rows[np.arange(length) >= lcp[:, None]].tobytes()
     numbers = np.array([(len(e[0]), len(e[1]), NO_ID if e[2] is None else e[2], e[3], e[4]) for e in entries], np.int64)
-    return zlib.compress(pickle.dumps((lcp.astype(np.uint8), tails, b"".join(e[1] for e in entries), numbers, [e[2] is None for e in entries])), 1)
+    return packed((lcp.astype(np.uint8), tails, b"".join(e[1] for e in entries), numbers, [e[2] is None for e in entries]))
 
 
-def merged(runs: list[tuple[np.ndarray, bytes]], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, lcp): the entries of all runs (numbered run after run) by suffix, each with its common prefix with the one before.
+def differ_at(x: bytes, y: bytes, at: int) -> int:
+    """The first place from ``at`` on where x and y differ, or their length. Reads STEP bytes of each at a time, and none before ``at``."""
+    while at < len(x):
+        a, b = x[at : at + STEP], y[at : at + STEP]
+        if a != b:
+            return at + len(a) - ((int.from_bytes(a) ^ int.from_bytes(b)).bit_length() + 7) // 8
+        at += STEP
+    return len(x)
 
-    A run is (common prefixes, tails). Suffixes are numbers of ``length`` bytes, so that one comparison sees them whole.
+
+def merged(runs: list[tuple[np.ndarray, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(order, lcp, read): the entries of all runs (numbered run after run) by suffix, each with its common prefix with the one before; and the
+    bytes of a suffix that comparisons read.
+
+    A run is (common prefixes, tails); suffixes have ``length`` bytes. A contender's number is its common prefix with the last suffix put out. Of
+    two, the one with the larger number comes first, without a byte read; equal numbers are followed by a comparison from there on.
     """
-    bits = 8 * length
     values, prefixes, base = [], [], [0]
     for lcp, tails in runs:
         own, at, last = [], 0, b""
         for h in lcp.tolist():
             last = last[:h] + tails[at : at + length - h]
             at += length - h
-            own.append(int.from_bytes(last))
+            own.append(last)
         values.append(own)
         prefixes.append(lcp.tolist())
         base.append(base[-1] + len(own))
-    k = 1 << max(0, (len(runs) - 1).bit_length())
-    nothing = 1 << bits  # after every suffix
-    now = [own[0] for own in values] + [nothing] * (k - len(runs))
+    k, read = 1 << max(0, (len(runs) - 1).bit_length()), 0
+    now: list[bytes | None] = [own[0] for own in values] + [None] * (k - len(runs))
     next_ = [1] * len(runs)
-    known = [0] * k  # common prefix with the last suffix put out
+    known = [0] * len(runs) + [-1] * (k - len(runs))  # -1: a run at its end loses to all others
     tree = [0] * k
+
+    def loser(a: int, b: int) -> tuple[int, int]:
+        """(winner, loser) of two with the same number; the loser's becomes its common prefix with the winner."""
+        nonlocal read
+        h = known[a]
+        if h < 0:
+            return a, b
+        x, y = now[a], now[b]
+        at = differ_at(x, y, h)
+        read += min(length, at + 1) - h
+        if at < length and y[at] < x[at]:
+            a, b = b, a
+        known[b] = at
+        return a, b
+
     # first round: the losers of a tournament
-    winners = list(range(k))
-    level = k
+    winners, level = list(range(k)), k
     while level > 1:
         up = []
         for i in range(0, level, 2):
             a, b = winners[i], winners[i + 1]
-            if now[b] < now[a]:
+            if known[a] == known[b]:
+                a, b = loser(a, b)
+            elif known[a] < known[b]:
                 a, b = b, a
-            known[b] = length - ((now[a] ^ now[b]).bit_length() + 7) // 8 if now[b] < nothing else 0
             tree[(level + i) // 2] = b
             up.append(a)
         winners, level = up, level // 2
@@ -133,28 +158,22 @@ def merged(runs: list[tuple[np.ndarray, bytes]], length: int) -> tuple[np.ndarra
         if i < len(own):
             now[best], known[best], next_[best] = own[i], prefixes[best][i], i + 1
         else:
-            now[best], known[best] = nothing, -1
+            now[best], known[best] = None, -1
         node = (k + best) // 2
         while node:
             other = tree[node]
-            h, g = known[best], known[other]
-            if h == g:
-                x, y = now[best], now[other]
-                if y < x:
-                    tree[node], best = best, other
-                    x, y, other = y, x, tree[node]
-                if y < nothing:
-                    known[other] = length - ((x ^ y).bit_length() + 7) // 8
-            elif h < g:
+            if known[best] == known[other]:
+                best, tree[node] = loser(best, other)
+            elif known[best] < known[other]:
                 tree[node], best = best, other
             node //= 2
-    return np.array(order, np.int64), np.array(lcp, np.int64)
+    return np.array(order, np.int64), np.array(lcp, np.int64), read
 
 
 def repeated(runs: list[bytes], length: int) -> dict[tuple, list]:
     """(doc, _k) -> spans of the strings in the runs that occur earlier."""
-    coded = [pickle.loads(zlib.decompress(r)) for r in runs]
-    order, lcp = merged([(c[0], c[1]) for c in coded], length)
+    coded = [unpacked(r) for r in runs]
+    order, lcp, _ = merged([(c[0], c[1]) for c in coded], length)
     numbers, null = np.concatenate([c[3] for c in coded]), [x for c in coded for x in c[4]]
     alike = lcp >= GRAM
     several = alike | np.concatenate([alike[1:], [False]])
@@ -191,9 +210,9 @@ def repeated(runs: list[bytes], length: int) -> dict[tuple, list]:
     return removed
 
 
-def spans_of(marked: DataFrame, length: int) -> DataFrame:
+def spans_of(marked: DataFrame, length: int, tasks: int) -> DataFrame:
     """doc_id, _k, spans of removed bytes (joined, of one task's view) for rows with text and marks."""
-    bits = shared.ranges(marked.sparkSession).bit_length() - 1
+    bits = shared.ranges(tasks).bit_length() - 1
     schema = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("_k", pa.int64()), ("data", pa.binary())])
 
     def keep(held: dict, name: tuple, doc: int | None, first: int, k: int, size: int, hot: bool, removed: dict) -> int:
@@ -261,8 +280,8 @@ def spans_of(marked: DataFrame, length: int) -> DataFrame:
 
     # in a fixed order: a task that is run again after an executor's loss makes the same batches
     marked = marked.select("doc_id", "_k", "text", "n_keys", "marks", "hot").sortWithinPartitions("doc_id", "_k")
-    sent = marked.mapInArrow(gather, "shard bigint, doc_id bigint, _k bigint, data binary").withColumn("_to", F.coalesce("shard", F.col("_k")))
-    return sent.repartition("_to").drop("_to").mapInArrow(merge, shared.SPANS_DDL)
+    sent = marked.mapInArrow(gather, "shard bigint, doc_id bigint, _k bigint, data binary")
+    return dealt(sent, F.coalesce("shard", F.col("_k")), tasks).mapInArrow(merge, shared.SPANS_DDL)
 
 
 def with_removed(docs: DataFrame, length: int) -> DataFrame:
@@ -271,9 +290,10 @@ def with_removed(docs: DataFrame, length: int) -> DataFrame:
     def describe():  # noqa: ANN202
         return lambda text: (anchors(utf8(text), length)[0], b"")
 
-    marks = cut(shared.shared_keys(docs, describe).drop("extra").dropDuplicates(["doc_id", "_k"]))
+    tasks = tasks_for(docs)
+    marks = cut(shared.shared_keys(docs, describe, tasks=tasks).drop("extra").dropDuplicates(["doc_id", "_k"]))
     maybe, _ = shared.split_by(docs.select("doc_id", "_k", "text"), marks)
-    return shared.with_spans(docs, spans_of(shared.with_rows(maybe, marks), length))
+    return shared.with_spans(docs, spans_of(shared.with_rows(maybe, marks), length, tasks))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:

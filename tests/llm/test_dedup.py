@@ -103,38 +103,66 @@ def test_suffix_dedup_in_pieces(spark, awkward, monkeypatch):
     assert rows_of(suffix_dedup.suffix_dedup(table(spark, rows))) == brute_bytes(rows, 100)
 
 
-def test_loser_tree_merge_never_reads_known_prefixes():
-    import pickle
-    import zlib
-
+@pytest.mark.parametrize("prefix", [b"", b"x" * 60])
+def test_loser_tree_merge_never_reads_known_prefixes(monkeypatch, prefix):
+    """The merge gives sorted suffixes and their common prefixes; comparisons begin at the known prefix, so all of them together
+    read no more than the bytes that front coding left, and one for each comparison."""
     import numpy as np
 
-    r = random.Random(3)
-    for runs in (1, 2, 3, 7):
-        entries = [[(bytes(r.choice(b"ab\0") for _ in range(r.randrange(1, 9))), b"", i, 0, j) for j in range(r.randrange(1, 30))] for i in range(runs)]
-        coded = [pickle.loads(zlib.decompress(suffix_dedup.front_coded(e, 8))) for e in entries]
-        order, lcp = suffix_dedup.merged([(c[0], c[1]) for c in coded], 8)
-        flat = [e[0].ljust(8, b"\0") for own in entries for e in own]
+    r, n, asked = random.Random(3), len(prefix) + 40, []
+    plain = suffix_dedup.differ_at
+
+    def told(x, y, at):
+        asked.append((x[:at], y[:at]))
+        return plain(x, y, at)
+
+    monkeypatch.setattr(suffix_dedup, "differ_at", told)
+    for runs in (1, 2, 3, 7, 16):
+        asked.clear()
+        entries = [[(prefix + bytes(r.choice(b"ab\0") for _ in range(r.randrange(1, 40))), b"", i, 0, j) for j in range(r.randrange(1, 60))] for i in range(runs)]
+        coded = [suffix_dedup.unpacked(suffix_dedup.front_coded(e, n)) for e in entries]
+        order, lcp, read = suffix_dedup.merged([(c[0], c[1]) for c in coded], n)
+        flat = [e[0].ljust(n, b"\0") for own in entries for e in own]
         out = [flat[i] for i in order]
         assert out == sorted(flat)
         for a, b, h in zip(out, out[1:], lcp[1:].tolist(), strict=False):
-            assert h == next((i for i in range(8) if a[i] != b[i]), 8)
+            assert h == next((i for i in range(n) if a[i] != b[i]), n)
         assert len(np.unique(order)) == len(flat)
+        assert all(x == y for x, y in asked)  # what isn't read is known to be common
+        assert read <= sum(len(c[1]) for c in coded) + len(asked)
+        assert runs == 1 or not prefix or read < 0.7 * n * len(asked)
 
 
 def test_fm_index_counts():
     import numpy as np
 
     r = np.random.default_rng(1)
-    text = np.concatenate([r.integers(1, 6, 300), [0], r.integers(1, 6, 200), [0]])
-    index = substring_dedup.FMIndex(text, 6)
+    text = np.concatenate([r.integers(1, 6, 300), [0], np.tile(r.integers(1, 6, 40), 5), [0], r.integers(1, 6, 200), [0]])
+    ids = r.integers(0, 50, len(text))
+    index = substring_dedup.FMIndex(text, 6, 5, ids)
     ends = np.arange(len(text))[text > 0]
     length, lo, hi = index.matching_statistics(text, ends, 5, 2)
     s = text.tolist()
+    places = lambda e, k: [i for i in range(len(s) - k + 1) if s[i : i + k] == s[e - k + 1 : e + 1]]
     for e, n, a, b in zip(ends.tolist(), length.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        count = lambda k: sum(s[i : i + k] == s[e - k + 1 : e + 1] for i in range(len(s) - k + 1))  # noqa: B023, E731
-        assert n == max((k for k in range(1, 6) if k <= e + 1 and 0 not in s[e - k + 1 : e + 1] and count(k) > 1), default=0)
-        assert n == 0 or b - a == count(n)
+        assert n == max((k for k in range(1, 6) if k <= e + 1 and 0 not in s[e - k + 1 : e + 1] and len(places(e, k)) > 1), default=0)
+        assert n == 0 or b - a == len(places(e, n))
+        assert n < 5 or index.least_of(np.array([a])).tolist() == [min(ids[i] for i in places(e, 5))]
+
+
+def test_fm_index_is_compressed():
+    """Repeated text takes less than a bit array would, and no place of the suffix order."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    once = r.integers(1, 2000, 500)
+    text = np.concatenate([np.append(once if k % 10 else r.integers(1, 2000, 500), 0) for k in range(200)])
+    index = substring_dedup.FMIndex(text, 14, 13, np.zeros(len(text), np.int64))
+    plain = sum(12 * (len(text) // 64 + 1) for _ in index.levels)
+    assert sum(b.nbytes for _, b, _ in index.levels) < 0.65 * plain and index.nbytes < 2 * len(text) + 2000 * 16
+    bits = r.random(5000) < np.repeat([0.0, 1.0, 0.5, 0.0, 1.0], 1000)
+    ranks = substring_dedup.Bits(bits)
+    assert ranks.rank(np.arange(5001)).tolist() == np.concatenate([[0], np.cumsum(bits)]).tolist()
 
 
 def brute_components(rows, n, num, den):

@@ -1,6 +1,7 @@
 """Decontamination, quality rules and classifier, language id, BPE, and the pipeline."""
 
 import hashlib
+import json
 import random
 import re
 import unicodedata
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from metasearch.llm import bpe, decontamination, language_id, quality_classifier, quality_rules
+from metasearch.llm import bpe, decontamination, language_id, quality_classifier, quality_rules, suffix_dedup
 from metasearch.llm.base import WordHashes
 from tests.conftest import DATA
 from tests.llm.conftest import prose, table
@@ -183,6 +184,70 @@ def test_language_id(spark, sf, awkward):
     assert language_id.language_id(table(spark, [])).count() == 0
 
 
+def brute_languages(rows):
+    """Naive Bayes by plain loops: (doc_id, language, score) from (doc_id, text, lang); rows that aren't held out teach."""
+    def buckets(text):
+        low = "".join(c.lower() if c.isascii() and c.isalpha() else " " if c.isascii() else c for c in text)
+        code = np.array([ord(c) for i, c in enumerate(low) if c != " " or i == 0 or low[i - 1] != " "], np.uint64)
+        return [int(h >> np.uint64(48)) for n in (1, 2, 3) for i in range(len(code) - n + 1) for h in language_id.gram_hashes(code[i : i + n], n)]
+
+    learn = [(t, lang) for d, t, lang in rows if t is not None and lang is not None and zlib.crc32(("" if d is None else str(d)).encode()) % 5]
+    languages = sorted({lang for _, lang in learn})
+    counts = {lang: Counter(b for t, own in learn if own == lang for b in buckets(t)) for lang in languages}
+    out = []
+    for d, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t) or not languages:
+            out.append((d, "und", 0.0))
+            continue
+        own, logs = buckets(t), []
+        for lang in languages:
+            total = sum(counts[lang].values()) + 0.5 * language_id.BUCKETS
+            logs.append(np.log(sum(x == lang for _, x in learn) / len(learn)) + sum(np.float32(np.log((counts[lang][b] + 0.5) / total)) for b in own))
+        best = int(np.argmax(logs))
+        out.append((d, languages[best], float(1 / np.exp(np.array(logs) - logs[best]).sum())))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("piece", "languages", "products"), [(1 << 18, 256, 1 << 20), (7, 2, 5)])
+def test_language_id_is_naive_bayes(spark, sf, monkeypatch, piece, languages, products):
+    """Against plain loops; long texts in small pieces, and more languages than one matrix takes, change nothing. Ties go to the first language."""
+    for name, value in (("PIECE", piece), ("LANGUAGES", languages), ("PRODUCTS", products)):
+        monkeypatch.setattr(language_id, name, value)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(x["doc_id"], x["text"][:400], x["lang"]) for x in docs.limit(60).collect()] + [(900 + i, t, k) for i, t in enumerate(["aaa  -- aaa", "same", "same", "x 日本  é", None, "", "42"]) for k in ("zz", "yy", None)]
+    docs = spark.createDataFrame([(d, t, lang, "other") for d, t, lang in rows], "doc_id long, text string, lang string, held_out string")
+    got = sorted(((x["doc_id"], x["lang_pred"], x["score"]) for x in language_id.language_id(docs).collect()), key=str)
+    want = brute_languages(rows)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-4)
+
+
+def test_a_text_of_50_mb(spark):
+    """One very long text among short ones: language id, quality rules, removal of repeated bytes and words, token ids."""
+    r = np.random.default_rng(4)
+    words = np.array([w.encode() for w in prose(9, 4000, 4000).split()])
+    long = b" ".join(words[r.integers(0, len(words), 9_000_000)].tolist()).decode()[: 50 << 20]
+    tail = long[-3000:]
+    docs = table(spark, [(1, long, ), (2, "before " + tail + " after"), (3, "kurz")]).cache()
+    assert {x["lang_pred"] for x in language_id.language_id(docs).collect()} == {"en"}
+    got = {x["doc_id"]: x for x in suffix_dedup.suffix_dedup(docs).collect()}
+    assert got[1]["n_bytes"] == len(long.encode()) and got[2]["n_removed"] >= 3000
+    docs.unpersist()
+
+
+def test_other_tokenizers_are_refused():
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        own = f.read()
+    assert bpe.checked(own) == own
+    for path, value in ((("normalizer",), {"type": "Lowercase"}), (("pre_tokenizer", "add_prefix_space"), True), (("pre_tokenizer", "type"), "Whitespace"), (("model", "byte_fallback"), True), (("model", "type"), "Unigram")):
+        j = json.loads(own)
+        at = j
+        for p in path[:-1]:
+            at = at[p]
+        at[path[-1]] = value
+        with pytest.raises(ValueError, match="isn't supported"):
+            bpe.checked(json.dumps(j))
+
+
 def test_quality_classifier(spark):
     """On labels that no fit saw: above the majority and above what the views do without each other's labels."""
     sf = str(DATA / "sf0.1")
