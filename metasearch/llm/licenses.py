@@ -1,7 +1,8 @@
 """License scan with ordered signature rules, in SQL expressions only.
 
-A text becomes its words, lower-cased, joined by one space. Rules (hundreds of regular expressions over that form) have keywords, one for
-each name they take; a rule runs only on texts that have one of its keywords, and a text without any gate runs none. Detections are word spans. Rules
+A text becomes its words, lower-cased, joined by one space. Rules (hundreds of regular expressions over that form: names, grants and tags of license
+families, and sentences of license texts, file headers and addresses) have keywords: one for
+each name they take, or the words they begin with. A rule runs only on texts that have one of its keywords, and a text without any gate runs none. Detections are word spans. Rules
 carry a priority: a span contained in a span of the same or a higher priority is suppressed (of equal spans the earlier rule's stays),
 while partial overlaps all stay.
 
@@ -11,6 +12,8 @@ empty table gives no rows; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,17 +92,99 @@ FAMILIES = [
     ("proprietary", "all rights reserved", "proprietary and confidential", "0"),
     ("public-domain", "public domain", "released into the public domain|dedicated to the public domain", "0"),
 ]
-#: A detection's confidence by priority: an SPDX tag, a grant, a name with its version, a full name, a short name.
+#: Sentences of license texts, headers and addresses, as (label, pattern). Each begins with plain words, its keyword.
+SENTENCES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("x11", "except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice(?: this list of conditions)?"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice(?: this list of conditions)?"),
+    ("bsd", "neither the name of(?: [^ ]+){1,12} may be used to endorse or promote products derived from this software"),
+    ("bsd", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("isc", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ncsa", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("apache", "you may not use this file except in compliance with the license"),
+    ("apache", "you may not use this work except in compliance with the license"),
+    ("apache", "you may not use this software except in compliance with the license"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "you should have received a copy of the gnu general public license along with"),
+    ("gpl", "this file is part of(?: [^ ]+){1,6} which is released under the gnu general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with"),
+    ("lgpl", "you should have received a copy of the gnu library general public license along with"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "the contents of this file are subject to the mozilla public license"),
+    ("npl", "the contents of this file are subject to the netscape public license"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cpl", "this program and the accompanying materials are made available under the terms of the common public license"),
+    ("eupl", "licensed under the eupl(?: version)? 1 [0-2]"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("cc0", "to the extent possible under law(?: [^ ]+){1,20} waived all copyright and related or neighboring rights"),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("perl", "this library is free software you can redistribute it and or modify it under the same terms as perl itself"),
+    ("python", "this license agreement is between the python software foundation"),
+    ("php", "this product includes php software freely available from"),
+    ("openssl", "this product includes software developed by the openssl project"),
+    ("openssl", "this product includes cryptographic software written by eric young"),
+    ("ofl", "this font software is licensed under the sil open font license"),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("w3c", "by obtaining using and or copying this work you the licensee agree that you have read understood and will comply with the following terms"),
+    ("odbl", "any rights in individual contents of the database are licensed under the database contents license"),
+    ("pddl", "is made available under the public domain dedication and license"),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "this software is the confidential and proprietary information of"),
+    ("apache", "apache org licenses license 2 0"),
+    ("mit", "opensource org licenses mit"),
+    ("bsd", "opensource org licenses bsd"),
+    ("apache", "opensource org licenses apache"),
+    ("gpl", "opensource org licenses gpl"),
+    ("isc", "opensource org licenses isc"),
+    ("gpl", "gnu org licenses (?:old licenses )?gpl"),
+    ("lgpl", "gnu org licenses (?:old licenses )?lgpl"),
+    ("agpl", "gnu org licenses agpl"),
+    ("gfdl", "gnu org licenses fdl"),
+    ("mpl", "mozilla org (?:en us )?mpl"),
+    ("epl", "eclipse org legal epl"),
+    ("boost", "boost org license 1 0"),
+    ("unlicense", "unlicense org"),
+    ("cc0", "creativecommons org publicdomain zero"),
+    ("public-domain", "creativecommons org publicdomain mark"),
+    ("cc-by-nc-nd", "creativecommons org licenses by nc nd"),
+    ("cc-by-nc-sa", "creativecommons org licenses by nc sa"),
+    ("cc-by-nc", "creativecommons org licenses by nc"),
+    ("cc-by-nd", "creativecommons org licenses by nd"),
+    ("cc-by-sa", "creativecommons org licenses by sa"),
+    ("cc-by", "creativecommons org licenses by"),
+    ("odbl", "opendatacommons org licenses odbl"),
+    ("odc-by", "opendatacommons org licenses by"),
+    ("pddl", "opendatacommons org licenses pddl"),
+]
+#: A detection's confidence by priority: an SPDX tag, a grant or a sentence of the license, a name with its version, a full name, a short name.
 CONFIDENCE = {5: 1.0, 4: 0.95, 3: 0.9, 2: 0.8, 1: 0.5}
 GRANT = "(?:licensed|released|distributed|available|published|provided|covered) (?:under|by|with) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:a )?"
 #: A text can only have a detection if it has one of these: each name has one, whatever follows it.
-GATES = ["licen", " cc ", " cc0", "creative commons", "public domain", "rights reserved", "proprietary", "gpl", "spdx", "wtfpl", " mpl", " cddl", " eupl", " eu pl", " asl", " osl", "mit x11", "odc ", "berkeley software", "university of illinois", "same terms as perl", "perl artistic", "sil ofl"]
+GATES = ["licen", " cc ", " cc0", "creative commons", "public domain", "rights reserved", "proprietary", "gpl", "spdx", "wtfpl", " mpl", " cddl", " eupl", " eu pl", " asl", " osl", "mit x11", "odc ", "berkeley software", "university of illinois", "same terms as perl", "perl artistic", "sil ofl", "hereby granted",
+         "above copyright notice", "redistribution and use", "as contained in this notice", "neither the name of", "advertising materials", "agreed to in writing", "free software", "possible under law",
+         "express or implied warranty", "altered source versions", "intent of this document", "this product includes", "agree that you", "individual contents of", "unauthorized copying", "opensource org",
+         "creativecommons org", "opendatacommons org", "gnu org", "mozilla org", "eclipse org", "this file are subject", "available under the terms", "permission is granted", "permission to use copy modify", "this file is part of"]
 
 
 def signatures() -> list[tuple[int, str, list[str], int, str]]:
     """(order, label, keywords, priority, pattern) of every rule: a text without any of its keywords has no place of the pattern.
 
-    A rule's keywords are its names, each with the space before it. Patterns take one leading space and leave the one that follows.
+    A rule's keywords are its names, or a sentence's first words, each with the space before it. Patterns take one leading space and leave the one that follows.
     """
     found = []
     for label, full, short, versions in FAMILIES:
@@ -115,6 +200,10 @@ def signatures() -> list[tuple[int, str, list[str], int, str]]:
             (1, either[1:], f"(?:{short})"),
         ):
             found.append((len(found), label, [f" {w}" for w in words], priority, f" {pattern}(?= )"))
+    for label, pattern in SENTENCES:
+        # words up to the first that isn't plain
+        plain = re.match(r"[a-z0-9 ]*(?= |$|\(\?: )", pattern)[0]
+        found.append((len(found), label, [f" {plain}"], 4, f" {pattern}(?= )"))
     return found
 
 

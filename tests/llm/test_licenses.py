@@ -56,6 +56,36 @@ NAMED = [
 ]
 
 
+def made(pattern, much):
+    """A text that the pattern takes."""
+    out = re.sub(r"\(\?: \[\^ \]\+\)\{1,\d+\}", " one two three" if much else " one", pattern)
+    out = re.sub(r"\(\?:([^()]*)\)\?", r"\1" if much else "", out)
+    out = re.sub(r"\(\?:([^()|]*)\|([^()]*)\)", lambda m: m[1] if much else m[2].split("|")[-1], out)
+    return re.sub(r"(.)\?", r"\1" if much else "", out.replace("[0-2]", "2"))
+
+
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software",
+    "bsd": "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that",
+    "apache": "you may not use this file except in compliance with the License.\n * You may obtain a copy",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published",
+    "cc-by-sa": "https://creativecommons.org/licenses/by-sa/4.0/",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+}
+
+
+def test_license_texts(spark):
+    got = {r["doc_id"]: r for r in licenses.license_scan(table(spark, list(NOTICES.values()))).collect()}
+    for i, label in enumerate(NOTICES):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 0.95, (label, got[i])
+
+
+def test_every_keyword_passes_a_gate():
+    """So no gate hides a rule; and each rule's keywords are words that every text it takes begins with or names."""
+    for order, label, words, _, pattern in licenses.signatures():
+        assert words and all(any(g in f"{w} " for g in licenses.GATES) for w in words), (order, label, words)
+
+
 def test_no_keyword_or_gate_hides_a_rule(spark):
     """Every name, bare, granted, tagged and with its versions glued or apart: as all rules find it without keywords or gates."""
     texts = [t for t, _, _ in NAMED]
@@ -64,6 +94,8 @@ def test_no_keyword_or_gate_hides_a_rule(spark):
             v = versions.split("|")[-1]
             texts += [f"a {name} b", f"released under the {name} b", f"a {name}v{v} b", f"a {name}{v} b", f"a {name}, version {v} or later", f"a {name} terms"]
         texts.append(f"SPDX-License-Identifier: {label}")
+    for label, pattern in licenses.SENTENCES:  # each with what is optional and without it
+        texts += [f"a {made(pattern, much)} b" for much in (True, False)]
     got = {r["doc_id"]: r for r in licenses.license_scan(table(spark, texts)).collect()}
     for i, text in enumerate(texts):
         padded = "x " + "".join(w + " " for w in WORD.findall(text.translate(LOW)))
@@ -82,7 +114,17 @@ def test_no_keyword_or_gate_hides_a_rule(spark):
 
 def test_rules_are_ordered_and_plenty():
     rules = licenses.rules()
-    assert len(rules) > 200 and [r[0] for r in rules] == list(range(len(rules)))
+    assert len(rules) > 380 and [r[0] for r in rules] == list(range(len(rules)))
+
+
+def test_repeated_rows_ties_and_long_texts(spark):
+    """Repeated rows are scanned each; equal spans go to the earlier rule; a text of 40,000 words with a phrase at each end."""
+    long = "mit license " + "word " * 40_000 + "apache license"
+    got = [tuple(r) for r in licenses.license_scan(table(spark, [(3, "cc by"), (3, "cc by"), (None, "cc by"), (4, long)])).collect()]
+    assert sorted(got, key=str)[:2] == [(3, 2, 1, 0, 0, "cc-by", "cc-by", 0.8)] * 2
+    assert {r[1:] for r in got if r[0] == 4} == {(40_004, 2, 0, 40_002, "apache,mit", "apache,mit", 0.8)}
+    spans = [tuple(r) for r in licenses.detections(table(spark, [(3, "cc by")])).collect()]
+    assert len(spans) == 1 and spans[0][1] == "cc-by"
 
 
 def test_empty(spark):
