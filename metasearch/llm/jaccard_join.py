@@ -23,7 +23,7 @@ empty set and links with nothing; a null id counts as larger than all others; re
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,11 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(gram_hashes(words, min(n, len(words)))) if len(words) else np.empty(0, U64)
 
 
+def plain_words(text: str | None) -> list[bytes]:
+    """What lies between spaces, tabs and line ends, with A-Z lower-cased."""
+    return utf8(text).lower().split()
+
+
 def upper(a: Column, num: int, den: int) -> Column:
     """The ceiling of a * num / den."""
     return F.floor((a * num + (den - 1)) / den).cast("long")
@@ -68,8 +73,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class Join:
-    def __init__(self, docs: DataFrame, n: int, num: int, den: int) -> None:
-        self.docs, self.n, self.num, self.den = docs, n, num, den
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int, words: Callable[[str | None], list[bytes]] = plain_words) -> None:
+        self.docs, self.n, self.num, self.den, self.words = docs, n, num, den, words
         # the part of the hash range must hold well over (1 - threshold) of a set
         self.skip = 0
         while 2 * 10 * den >= 48 * (den - num) * (1 << self.skip + 1) and self.skip < 4:
@@ -80,13 +85,13 @@ class Join:
 
     def sized(self) -> DataFrame:
         """doc_id, _k, digest (class: 16 bytes of a hash of the set), n, single (unshared shingles seen) for every row."""
-        n, skip = self.n, (1 << self.skip) - 1
+        n, skip, words = self.n, (1 << self.skip) - 1, self.words
 
         def describe():  # noqa: ANN202
             memo = WordHashes()
 
             def of(text: str | None) -> tuple[np.ndarray, bytes]:
-                s = shingle_set(memo.of(utf8(text).lower().split()), n)
+                s = shingle_set(memo.of(words(text)), n)
                 return s[(s & U64(skip)) == 0], len(s).to_bytes(8, "big") + hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
             return of
@@ -98,14 +103,14 @@ class Join:
 
     def sets(self, classes: DataFrame) -> DataFrame:
         """(node, n, tokens) of the classes' representatives."""
-        n = self.n
+        n, words = self.n, self.words
         schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def rows() -> Iterator[tuple]:
                 memo = WordHashes()
                 for node, text in rows_of(batches, "node", "text"):
-                    s = shingle_set(memo.of(utf8(text).lower().split()), n)
+                    s = shingle_set(memo.of(words(text)), n)
                     yield node, len(s), s.view(np.int64)
 
             yield from in_batches(rows(), schema, 256)
@@ -199,18 +204,18 @@ class Join:
         return rows.select("doc_id", "_k", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row; sets link from a Jaccard similarity of num / den on."""
-    return Join(keyed(docs), n, num, den).run().drop("_k")
+def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, words: Callable[[str | None], list[bytes]] = plain_words) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row; sets link from a Jaccard similarity of num / den on. ``words``: how a text is split."""
+    return Join(keyed(docs), n, num, den, words).run().drop("_k")
 
 
-def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, words: Callable[[str | None], list[bytes]] = plain_words) -> DataFrame:
     """``docs`` with all columns, one row of each component: of the smallest (id, text hash), and the smallest of that one's repeats.
 
     Rows without words have no component and all stay.
     """
     rows = keyed(docs, F.struct("*").alias("_row")).drop("text")
-    sized, known = Join(keyed(docs), n, num, den).labelled()
+    sized, known = Join(keyed(docs), n, num, den, words).labelled()
     first = cut(known.groupBy("label").agg(F.min("r").alias("first")))
     of = known.select("digest", "label").join(first, "label").select("digest", "first")
     # a row for each (id, text): repeats are counted before they meet the others
