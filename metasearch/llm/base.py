@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import pickle
 import re
 import tempfile
@@ -11,13 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words remembered by one Python worker before its memo starts anew; longer ones aren't.
-MEMO_WORDS, MEMO_BYTES = 400_000, 64
+#: Bytes whose words are hashed at a time.
+WORDS_PIECE = 1 << 16
 #: Rows of text in one Arrow batch, unless the session asks for fewer.
 BATCH_ROWS = 1000
 #: Most 64-bit words of a broadcast Bloom filter (16 MB), and words in one of its rows.
@@ -28,6 +28,8 @@ TASK_BYTES = 64 << 20
 U64 = np.uint64
 M1, M2, M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
+M1_INVERSE = U64(pow(int(M1), -1, 1 << 64))
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -68,21 +70,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes). Up to MEMO_WORDS words of MEMO_BYTES at most are remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= MEMO_BYTES:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = h
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (splitmix64)."""
     h = (h ^ (h >> U64(30))) * M2
@@ -90,6 +77,40 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+def powers(of: np.uint64, n: int) -> np.ndarray:
+    """of ** 0 to n - 1, modulo 2**64."""
+    return np.cumprod(np.concatenate([np.ones(1, U64), np.full(n - 1, of)]))
+
+
+def hashes_of(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of a piece, which has one space between words: each word's bytes weigh by their place in the word."""
+    space = np.flatnonzero(data == 32)
+    starts, ends = np.concatenate([[0], space + 1]), np.concatenate([space, [len(data)]])
+    up, down = (UP, DOWN) if len(data) < WORDS_PIECE else (powers(M1, len(data) + 1), powers(M1_INVERSE, len(data) + 1))
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(BYTES[data] * up[: len(data)])])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * M3)
+
+
+BYTES = mix(np.arange(1, 257, dtype=U64) * M2)
+UP, DOWN = powers(M1, WORDS_PIECE), powers(M1_INVERSE, WORDS_PIECE)
+
+
+class WordHashes:
+    """64-bit hashes of words (bytes without spaces)."""
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        data, found, at = b" ".join(words), [np.empty(0, U64)], 0
+        while at < len(data):
+            end = len(data)
+            if at + WORDS_PIECE < end:
+                end = data.rfind(b" ", at, at + WORDS_PIECE)
+                end = data.find(b" ", at + WORDS_PIECE) if end < 0 else end
+                end = len(data) if end < 0 else end
+            found.append(hashes_of(np.frombuffer(data, np.uint8, end - at, at)))
+            at = end + 1
+        return found[1] if len(found) == 2 else np.concatenate(found)
+
+
 def gram_hashes(w: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n consecutive entries; order counts. Empty if there are fewer than n."""
     if len(w) < n:
@@ -120,13 +141,16 @@ def written(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def frugal() -> None:
-    """Large arrays go back to the system when they are freed; else a worker that serves many tasks keeps its highest need."""
+    """Large arrays go back to the system when they are freed; else a worker that serves many tasks keeps its highest need. Cycles are looked
+    for between tasks only: batches hold many small objects, and none in cycles."""
+    gc.disable()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed
 
 
 def release() -> None:
     """Give freed memory back to the system, between batches and tasks of one Python worker."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -26,11 +26,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metasearch.llm.base import U64, WordHashes, cut, in_batches, mix, rows_of, small_batches, utf8
+from metasearch.llm.base import U64, WordHashes, cut, in_batches, rows_of, small_batches, utf8
 from metasearch.llm.decontamination import FOLD
 
 #: Hashed features of each view: text, metadata.
@@ -79,7 +80,7 @@ def text_features(text: str | None, memo: WordHashes) -> np.ndarray:
     return np.unique(memo.of(words) >> U64(64 - BITS[0])).astype(np.int32)
 
 
-def meta_features(text: str | None, lang: str | None, source: str | None, n_chars: int | None, memo: WordHashes) -> np.ndarray:
+def meta_features(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
     """Buckets of the metadata and of the page's layout."""
     data = utf8(text)
     lines, words, n = [x for x in data.split(b"\n") if x.strip()], data.split(), max(1, len(data))
@@ -90,7 +91,7 @@ def meta_features(text: str | None, lang: str | None, source: str | None, n_char
         b"lines:" + level(len(lines), NUMBERS), b"line words:" + level(len(words) / max(1, len(lines)), NUMBERS),
         b"line repeats:" + level(1 - len(set(lines)) / max(1, len(lines)), SHARES), b"word repeats:" + level(1 - len(set(words)) / max(1, len(words)), SHARES),
     ]
-    return (mix(memo.of(keys)) >> U64(64 - BITS[1])).astype(np.int32)
+    return np.array([xxhash.xxh64_intdigest(k) >> 64 - BITS[1] for k in keys], np.int32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -175,7 +176,7 @@ def featured(docs: DataFrame, told: Told) -> DataFrame:
         def rows() -> Iterator[tuple]:
             for doc, text, lang, source, n in rows_of(batches, "doc_id", "text", "lang", "source", "n_chars"):
                 own = known.get(doc)
-                yield doc, own is not None and (own[2] or own[3]), own is not None, text_features(text, memo).tobytes(), meta_features(text, lang, source, n, memo).tobytes()
+                yield doc, own is not None and (own[2] or own[3]), own is not None, text_features(text, memo).tobytes(), meta_features(text, lang, source, n).tobytes()
 
         yield from in_batches(rows(), FEATURES, 4096)
 

@@ -40,43 +40,40 @@ NO_ID = -(1 << 63)
 PIECE = 1 << 20
 #: Windows searched at a time.
 CHUNK = 1 << 17
-#: Blocks of 64 bits whose counts are told from one number.
+#: Blocks of 64 bits whose counts are told from one number (32 at most); the bits before each place of a block.
 GROUP = 32
+MASKS = (U64(1) << np.arange(64, dtype=U64)) - U64(1)
 
 
 class Bits:
-    """A compressed bit array with counts: rank in constant time. Blocks of 64 bits that are all 0 or all 1 (a BWT has long runs) keep no bits; counts
-    are small numbers within groups of GROUP blocks."""
+    """A compressed bit array with counts: rank in constant time. Blocks of 64 bits that are all 0 or all 1 (a BWT has long runs) keep no bits. A block's head
+    has its kind (0, mixed, 1), the kept blocks and the ones before it in its group of GROUP blocks; a group's, those before the group."""
 
     def __init__(self, bits: np.ndarray) -> None:
         n = -(-(len(bits) + 1) // (64 * GROUP)) * GROUP
         padded = np.zeros(64 * n, bool)
         padded[: len(bits)] = bits
         words = np.packbits(padded, bitorder="little").view(np.uint64)
-        count = np.bitwise_count(words)
+        count = np.bitwise_count(words).astype(np.int64)
         mixed = (count > 0) & (count < 64)
-        self.count, self.words = count.astype(np.uint8), np.append(words[mixed], U64(0))
-        self.group, self.within = self._before(count.astype(np.int64), np.uint16)
-        self.slot_group, self.slot = self._before(mixed.astype(np.int64), np.uint8)
+        self.words = np.append(words[mixed], U64(0))
+        ones, slot = (np.concatenate([[0], np.cumsum(x)[:-1]]) for x in (count, mixed))
+        self.groups = ones[::GROUP] << 32 | slot[::GROUP]
+        within = [x - np.repeat(x[::GROUP], GROUP) for x in (ones, slot)]
+        self.heads = (within[0] << 8 | within[1] << 2 | np.where(count == 64, 2, mixed)).astype(np.uint32)
         self.ones = int(count.sum())
 
-    @staticmethod
-    def _before(x: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-        """Sums before each block: of its group, and within the group."""
-        before = np.concatenate([[0], np.cumsum(x)[:-1]])
-        return before[::GROUP].astype(np.int32), (before - np.repeat(before[::GROUP], GROUP)).astype(kind)
-
     @property
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in (self.count, self.words, self.group, self.within, self.slot_group, self.slot))
+        return self.words.nbytes + self.groups.nbytes + self.heads.nbytes
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each place."""
         block, bit = at >> 6, at & 63
-        group, count = block // GROUP, self.count[block]
-        some = self.words[self.slot_group[group] + self.slot[block]] & ((U64(1) << bit.astype(np.uint64)) - U64(1))
-        inside = np.where(count == 64, bit, np.where(count == 0, 0, np.bitwise_count(some)))
-        return self.group[group].astype(np.int64) + self.within[block] + inside
+        head, group = self.heads[block].astype(np.int64), self.groups[block // GROUP]
+        kind = head & 3
+        some = np.bitwise_count(self.words[(group & 0xFFFFFFFF) + (head >> 2 & 63)] & MASKS[bit])
+        return (group >> 32) + (head >> 8) + np.where(kind == 1, some, (kind >> 1) * bit)
 
 
 class FMIndex:
@@ -139,15 +136,18 @@ class FMIndex:
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of symbol + pattern from those of the patterns."""
-        start = self.starts[symbol] - self.base[symbol]
-        return start + self._walk(symbol, lo), start + self._walk(symbol, hi)
+        start, both = self.starts[symbol] - self.base[symbol], self._walk(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
+        return start + both[: len(lo)], start + both[len(lo) :]
 
     def matching_statistics(self, stream: np.ndarray, ends: np.ndarray, most: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(length, lo, hi) for each end in ``stream``: the longest match up to ``most`` symbols that ends there with ``least``
         occurrences or more, and its interval."""
-        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
-        length, going = np.zeros(len(ends), np.int64), np.arange(len(ends))
-        for step in range(most):
+        # one symbol's interval is known without a search
+        last = stream[ends]
+        lo, hi = self.starts[last], self.starts[last + 1]
+        found = (last > 0) & (hi - lo >= least)
+        lo, hi, length, going = np.where(found, lo, 0), np.where(found, hi, self.size), found.astype(np.int64), np.flatnonzero(found)
+        for step in range(1, most):
             going = going[ends[going] >= step]
             symbol = stream[ends[going] - step]
             going, symbol = going[symbol > 0], symbol[symbol > 0]
