@@ -1,6 +1,10 @@
 """A corpus pipeline over ``documents``: rules, one document of each near-duplicate group, no repeated passages, no benchmark, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the columns of ``documents``.
+
+Defined results: null, empty and wordless texts fail the quality rules; very long texts are taken whole; of rows repeated with their id one stays (near
+duplicates); of equal candidates the smallest (id, text) stays; null ids come last there and first among passages; an empty table gives no rows; extra columns,
+whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 80 % of its 5-word shingles from link to link."""
-    return jaccard_join.one_of_each(docs, 5, 4, 5)
+    """One document of each group that shares 80 % of its 5-word shingles from link to link. Case and punctuation don't count."""
+    return jaccard_join.one_of_each(docs, 5, 4, 5, decontamination.words_of)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
