@@ -18,6 +18,7 @@ from metasearch import registry  # noqa: E402
 from metasearch.operators import search  # noqa: E402
 from metasearch.plans.query import Query, Sort, parse  # noqa: E402
 from metasearch.sources.generate import synthetic  # noqa: E402
+from metasearch.store import Reader  # noqa: E402
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -48,6 +49,11 @@ def main() -> None:
     work["needle_1m_cached"] = lambda: sink(search.ranked(search.matches(table, needle), needle))
     by_size = Query(exts=("rs", "png"), min_size=1 << 19, sort=Sort.SIZE, limit=100)
     work["filter_sort_1m_cached"] = lambda: sink(search.ranked(search.matches(table, by_size), by_size))
+    # the same rows in a store: by its index, and by a scan
+    reader = Reader(registry.new_store(spark))
+    reader.store.build(table)
+    work["stored_needle_indexed"] = lambda: sink(search.ranked(search.matches(reader.rows(needle), needle), needle))
+    work["stored_needle_scanned"] = lambda: sink(search.ranked(search.matches(reader.files(), needle), needle))
     try:
         from metasearch.llm import queries as llm
     except ImportError:

@@ -52,9 +52,19 @@ def tiles(files: DataFrame, folder: str, most: int = TILES) -> DataFrame:
 
     An extension here is all after the last dot of the name, in lower case.
     """
-    own = children(files).filter(F.col("parent") == folder).select(F.col("child").alias("folder_path"))
-    dirs = rollup(files).join(own, F.col("folder") == F.col("folder_path"), "left_semi").select(
-        F.col("folder").alias("path"), paths.display_name("folder").alias("name"), F.greatest("bytes", F.lit(1)).alias("bytes"), "count", F.lit(True).alias("folder"), F.lit("").alias("extension"))
+    rows = placed(files.select("path", "kind", "size"))
+    is_dir = F.col("kind") == "Dir"
+    # one row a parent first, so that folders, not files, look for their way down; directory rows name their own
+    sums = rows.filter(~is_dir).groupBy("_parent").agg(F.sum(F.greatest("size", F.lit(1))).alias("bytes"), F.count(F.lit(1)).alias("count")).withColumn("_path", F.lit(None).cast("string"))
+    none = rows.filter(is_dir).select("_parent", F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("count"), "_path")
+    way = paths.ancestors_of(F.col("_parent"))
+    below = F.coalesce(F.get(way, F.array_position(way, folder).cast("int")), F.when(F.col("_parent") == folder, F.col("_path")))
+    found = sums.unionByName(none).filter(F.array_contains(way, folder)).withColumn("path", below)
+    if folder == "/":  # / is its own child if there is a row for it, and all is below it
+        found = found.withColumn("path", F.explode(F.array("path", F.lit("/"))))
+    found = found.filter("path is not null").groupBy("path").agg(F.sum("bytes").alias("bytes"), F.sum("count").alias("count"), F.max(F.coalesce(F.col("_path") == "/", F.lit(False))).alias("_root"))
+    dirs = found.filter((F.col("path") != "/") | F.col("_root")).select(
+        "path", paths.display_name("path").alias("name"), F.greatest("bytes", F.lit(1)).alias("bytes"), "count", F.lit(True).alias("folder"), F.lit("").alias("extension"))
     name = paths.display_name("path")
     direct_ = placed(files.filter("kind <> 'Dir'")).filter(F.col("_parent") == folder).select(
         "path", name.alias("name"), F.greatest("size", F.lit(1)).alias("bytes"), F.lit(1).cast("long").alias("count"), F.lit(False).alias("folder"),

@@ -28,23 +28,20 @@ def checked_links(inodes: DataFrame, root: int) -> DataFrame:
 
 def directory_paths(dirs: DataFrame, root: int) -> DataFrame:
     """(id, path) below the root ('' for itself) from one (id, parent, name) a directory."""
-    spark = dirs.sparkSession
-    top = spark.range(1).select(F.lit(root).cast("long").alias("id"), F.lit("").alias("path"))
-    open_ = cut(dirs.filter(F.col("id") != root).select("id", F.col("parent").alias("to"), F.col("name").alias("path")))
-    done = None
+    top = dirs.sparkSession.range(1).select(F.lit(root).cast("long").alias("id"), F.lit("").alias("path"))
+    state = cut(dirs.filter(F.col("id") != root).select("id", F.col("parent").alias("to"), F.col("name").alias("path")).dropDuplicates(["id"]))
+    waiting = None
     while True:
-        arrived = open_.filter(F.col("to") == root).select("id", "path")
-        done = cut(arrived if done is None else done.unionByName(arrived))
-        rest = open_.filter(F.col("to") != root)
-        up = open_.select(F.col("id").alias("_id"), F.col("to").alias("_to"), F.col("path").alias("_path"))
-        # a finished target finishes its pointers; an unfinished one passes its pointer on; a missing one drops them
-        open_ = cut(rest.join(up, F.col("to") == F.col("_id")).select("id", F.col("_to").alias("to"), paths.append_component(F.col("_path"), F.col("path")).alias("path")))
-        # targets that were done in earlier rounds are no longer among the open
-        late = rest.join(done.select(F.col("id").alias("_id"), F.col("path").alias("_path")), F.col("to") == F.col("_id"))
-        late = late.select("id", F.lit(root).cast("long").alias("to"), paths.append_component(F.col("_path"), F.col("path")).alias("path"))
-        open_ = cut(open_.unionByName(late).dropDuplicates(["id"]))
-        if open_.filter(F.col("to") == root).isEmpty():
-            return top.unionByName(done)
+        arrived, open_ = state.filter(F.col("to") == root), state.filter(F.col("to") != root)
+        up = state.select(F.col("id").alias("_id"), F.col("to").alias("_to"), F.col("path").alias("_path"))
+        # a target passes on its own pointer, at last the root; a missing one drops what points at it. What has arrived meets nobody any more.
+        step = open_.join(up, F.col("to") == F.col("_id")).select("id", F.col("_to").alias("to"), paths.append_component(F.col("_path"), F.col("path")).alias("path"))
+        state = cut(arrived.unionByName(step))
+        # cycles never arrive; when nobody new did, nobody will
+        n = state.agg(F.count_if(F.col("to") != root).alias("open"), F.count(F.lit(1)).alias("all")).first()
+        if n["open"] == 0 or n == waiting:
+            return top.unionByName(state.filter(F.col("to") == root).select("id", "path"))
+        waiting = n
 
 
 def full_path(prefix: str, relative: Column) -> Column:

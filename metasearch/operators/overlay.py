@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metasearch.schema import FILE_COLUMNS, as_files
 
-#: Bounds of a batch of changes.
+#: Bounds of the changes of one request, and of a path.
 MAX_CHANGES, MAX_PATH_BYTES = 65_536, 32 << 10
 
 
@@ -60,10 +60,10 @@ def invalid_changes(changes: DataFrame) -> DataFrame:
     return changes.filter(F.col("path").isNull() | (n == 0) | (n > MAX_PATH_BYTES) | ~paths.safe("path"))
 
 
-def validate_changes(changes: DataFrame) -> DataFrame:
-    """The batch, if it is small enough and all its paths are good."""
-    if changes.limit(MAX_CHANGES + 1).count() > MAX_CHANGES:
-        raise ValueError(f"more than {MAX_CHANGES} changes")
+def validate_changes(changes: DataFrame, most: int | None = MAX_CHANGES) -> DataFrame:
+    """The changes, if all their paths are good and there are no more than ``most``: the bound of a request; a stream's batch has none."""
+    if most is not None and changes.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} changes")
     if not invalid_changes(changes).isEmpty():
         raise ValueError("a change's path is empty, too long, or not absolute and normalized")
     return changes

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metasearch.checkpoints import cut
 from metasearch.functions.labels import trigrams
 from metasearch.plans.query import Query
 
-#: Rows of a block.
-BLOCK = 32
+#: Rows of a block; of a stored catalog's blocks, two to this power (what one read takes in anyway).
+BLOCK, STORED_BITS = 32, 10
+#: Blocks beyond which an answer of the index is too common to be worth its reads, and ranges of blocks that a scan is given.
+MOST_BLOCKS, MOST_RANGES = 50_000, 64
 
 
 def blocked(files: DataFrame, rows: int = BLOCK) -> DataFrame:
@@ -41,3 +43,19 @@ def candidates(index: DataFrame, query: Query) -> DataFrame | None:
     if not wanted:
         return None
     return index.filter(F.col("gram").isin(wanted)).groupBy("block_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(wanted)).select("block_id")
+
+
+def block_ranges(blocks: list[int], most: int = MOST_RANGES) -> list[tuple[int, int]]:
+    """Inclusive ranges that hold all the blocks: neighbours together, then the closest, until there are ``most``."""
+    blocks = sorted(blocks)
+    gaps = sorted(((b - a, i) for i, (a, b) in enumerate(zip(blocks, blocks[1:], strict=False), 1) if b - a > 1), reverse=True)
+    cuts = sorted(i for _, i in gaps[: most - 1])
+    return [(part[0], part[-1]) for part in (blocks[a:b] for a, b in zip([0, *cuts], [*cuts, len(blocks)], strict=True)) if part]
+
+
+def within(ranges: list[tuple[int, int]]) -> Column:
+    """The block is in one of the ranges: a condition that the scan skips files, row groups and pages by."""
+    found = F.lit(False)
+    for a, b in ranges:
+        found = found | F.col("block_id").between(a, b)
+    return found

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from metasearch import render
-from metasearch.fixtures import duck, load
+from metasearch import render, serve
+from metasearch.checkpoints import shared_folder
+from metasearch.fixtures import duck, event_buffers, load, table_records, tree_items
 from metasearch.functions import hosts, labels, paths
 from metasearch.operators import hierarchy, lanes, namespace, overlay, search, trigram, view
-from metasearch.plans.query import Query, Sort, parse
+from metasearch.plans.query import MAX_RESULTS, MAX_ROOTS, MAX_TERMS, MAX_TEXT_BYTES, Query, Sort, parse, validate
 from metasearch.schema import CHANGE_SCHEMA, FILE_COLUMNS, as_files
-from metasearch.sources import generate, mounts, text
-from metasearch.store import Store
+from metasearch.sources import generate, mounts, native, text
+from metasearch.store import Reader, Store
 from metasearch.streaming import changes as stream
+from metasearch.streaming import events as kernel
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -380,8 +383,8 @@ MAC = ["/dev/disk1s1 on / (apfs, local, journaled)", "/dev/disk1s2 on /System/Vo
 register("mac_mounts", lambda s, d: text.mac_mounts(lines(s, MAC)), f"select device, mountpoint, fs from (select regexp_extract(value, '^(.*?) on (.*) \\(([^()]*)\\)*$', 1) as device, regexp_extract(value, '^(.*?) on (.*) \\(([^()]*)\\)*$', 2) as mountpoint, trim(split_part(regexp_extract(value, '^(.*?) on (.*) \\(([^()]*)\\)*$', 3), ',', 1)) as fs from {values([(m,) for m in MAC], 'value')} t) x where fs in ('apfs', 'hfs') and not starts_with(mountpoint, '/System/Volumes/')")
 DIFF = ["+\t/tank/new", "-\t/tank/old", "M\t/\t/tank/typed", "R\tF\t/tank/a\t/tank/b", "", "M\t/tank/plain"]
 register("zfs_diff_parse", lambda s, d: text.zfs_diff(s.createDataFrame(list(enumerate(DIFF, 1)), "line long, value string")), f"select line, case string_split(value, chr(9))[1] when '+' then 'Created' when '-' then 'Removed' when 'M' then 'Modified' else 'Renamed' end as change, string_split(value, chr(9))[case when len(string_split(value, chr(9))) >= 3 then 3 else 2 end] as path, case when string_split(value, chr(9))[1] = 'R' then string_split(value, chr(9))[4] end as to_path from {values(list(enumerate(DIFF, 1)), 'line, value')} t where value <> ''")
-register("zfs_changes", lambda s, d: text.zfs_changes(text.zfs_diff(s.createDataFrame(list(enumerate(DIFF, 1)), "line long, value string"))), "select * from " + values([(1, "Upsert", "/tank/new"), (2, "Remove", "/tank/old"), (3, "Upsert", "/tank/typed"), (4, "Remove", "/tank/a"), (4, "Upsert", "/tank/b"), (6, "Upsert", "/tank/plain")], "line, op, path") + " t")
-register("mdfind_parse", lambda s, d: text.split_nul(lines(s, ["/A/a file\0/A/with\nnewline\0", "\0\0/B"])), "select * from " + values([("/A/a file",), ("/A/with\nnewline",), ("/B",)], "path") + " t")
+register("zfs_changes", lambda s, d: text.zfs_changes(text.zfs_diff(s.createDataFrame(list(enumerate(DIFF, 1)), "line long, value string"))), f"select line, case when change in ('Removed', 'Renamed') then 'Remove' else 'Upsert' end as op, path from ({SQL['zfs_diff_parse']}) p union all select line, 'Upsert', to_path from ({SQL['zfs_diff_parse']}) q where change = 'Renamed'")
+register("mdfind_parse", lambda s, d: text.split_nul(lines(s, ["/A/a file\0/A/with\nnewline\0", "\0\0/B"])), "select path from (select unnest(string_split(value, chr(0))) as path from (select '/A/a file' || chr(0) || '/A/with' || chr(10) || 'newline' || chr(0) as value union all select chr(0) || chr(0) || '/B') v) t where path <> ''")
 KEPT = ["/.snapshots/42/file", "/.snapshots-old/file", "/proc/self/status", "/processes", "/home/system/file", "/sys", "/system"]
 register("default_exclusions", lambda s, d: s.createDataFrame([(k,) for k in KEPT], "path string").select("path", mounts.excluded("path", "/").alias("root"), mounts.excluded("path", "/home").alias("home")), f"select path, path in ('/proc', '/sys', '/.snapshots') or starts_with(path, '/proc/') or starts_with(path, '/sys/') or starts_with(path, '/.snapshots/') as root, path = '/home/.snapshots' or starts_with(path, '/home/.snapshots/') as home from {values([(k,) for k in KEPT], 'path')} t")
 register("scan_roots_filter", lambda s, d: mounts.scanned(load(s, d, "files_part"), "/", ["/parts/Brand-1/", "/parts/Brand-11"]), f"select * from ({duck('files_part')}) p where starts_with(path, '/parts/Brand-1/') or starts_with(path, '/parts/Brand-11/')")
@@ -400,8 +403,7 @@ register("response_tsv", lambda s, d: render.response_text(load(s, d, "files_par
 
 def new_store(s: SparkSession) -> Store:
     """A store in a folder that the whole cluster sees."""
-    shared = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stores-")
-    return Store(s, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}")
+    return Store(s, f"{shared_folder(s).rstrip('/')}/store-{uuid.uuid4().hex}")
 
 
 def stored(s: SparkSession, d: str) -> DataFrame:
@@ -451,13 +453,191 @@ EVENTS = [
 ]
 EVENT = "seq long, mask array<string>, role string, named boolean, present boolean, path string"
 register("store_roundtrip", stored, duck("files_part"))
-register("store_compaction", compacted)
+register("store_compaction", compacted, LIVE)
 register("stream_apply", streamed, LIVE)
 register("index_status", status, f"select (select count(*) from ({duck('files_part')}) p) as records, (select count(*) from ({FOLD}) f) as changes, cast(1 as bigint) as generation")
-register("stream_events", lambda s, d: stream.batch_changes(s.createDataFrame(EVENTS, EVENT)).select("seq", "op", "path"), "select * from " + values([(2, "Remove", "/a"), (3, "Remove", "/b"), (4, "Upsert", "/c"), (5, "Upsert", "/d"), (6, "Remove", "/e"), (8, "Upsert", "/g")], "seq, op, path") + " t")
+MASKED = values([(n, "|".join(m), *rest) for n, m, *rest in EVENTS], "seq, masks, role, named, present, path")
+ANY = lambda types: f"list_has_any(string_split(masks, '|'), [{', '.join(map(quoted, types))}])"
+OPS = f"case when named and (role = 'Old' or role = 'Current' and {ANY(stream.REMOVES)}) then 'Remove' when named and (role = 'New' or {ANY(stream.UPSERTS)}) then case when present then 'Upsert' else 'Remove' end when not named and role = 'Object' and {ANY(['ATTRIB', 'CLOSE_WRITE'])} and present then 'Upsert' end"
+register("stream_events", lambda s, d: stream.batch_changes(s.createDataFrame(EVENTS, EVENT)).select("seq", "op", "path"),
+         f"select seq, op, path from (select *, row_number() over (partition by path order by seq desc, op desc) as n from (select *, {OPS} as op from {MASKED} e) o where op is not null) x where n = 1")
 RESCANS = {"quiet": [["CREATE"]], "full": [["Q_OVERFLOW"]], "folder": [["ONDIR", "RENAME"]], "unpaired": [["MOVED_FROM"]]}
 register("stream_rescan", lambda s, d: s.createDataFrame([(k, stream.rescan_reason(s.createDataFrame([(m,) for m in v], "mask array<string>"), False)) for k, v in RESCANS.items()], "batch string, reason string"),
-         "select * from " + values([("quiet", None), ("full", "the event queue overflowed"), ("folder", "a directory was renamed"), ("unpaired", "a move came without its other side")], "batch, reason") + " t")
+         f"select batch, case when {ANY(['Q_OVERFLOW'])} then 'the event queue overflowed' when {ANY(['ONDIR'])} and {ANY([*stream.MOVES, 'RENAME'])} then 'a directory was renamed' when {ANY(stream.MOVES)} then 'a move came without its other side' end as reason from {values([(k, '|'.join(v[0])) for k, v in RESCANS.items()], 'batch, masks')} t")
 register("needle", lambda s, d: search.counted(generate.synthetic(s, 200_000), replace(parse(f"needle{199_999:08x}"), limit=10)).select("score", "matched", "native_id"), "select cast(1048832 as bigint) as score, cast(1 as bigint) as matched, cast(199999 as bigint) as native_id")
 register("demo_table", lambda s, d: as_files(generate.demo(s)).agg(F.count(F.lit(1)).alias("n")), "select cast(65 as bigint) as n")
-register("files_sorted", lambda s, d: load(s, d, "files_part").orderBy("path", "native_id"), duck("files_part"))
+
+
+# order, and what the store reads back
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """The rows with their place: the order is part of the result."""
+    numbered = rows.withColumn("_at", F.monotonically_increasing_id())
+    return numbered.withColumn("place", F.row_number().over(Window.orderBy("_at")).cast("long")).drop("_at")
+
+
+PLACES = f"select *, row_number() over (order by path, native_id) as place from ({duck('files_part')}) p"
+register("files_sorted", lambda s, d: placed(load(s, d, "files_part").orderBy("path", "native_id")), PLACES)
+
+
+def records(s: SparkSession, d: str) -> DataFrame:
+    store = new_store(s)
+    store.build(load(s, d, "files_part").repartition(3))
+    return placed(store.records())
+
+
+register("store_records", records, PLACES)
+
+
+def read(s: SparkSession, d: str, query: Query, changed: bool) -> DataFrame:
+    """A search through a reader of a stored catalog: by its index, with the changes since."""
+    store = new_store(s)
+    store.build(load(s, d, "files_part"))
+    if changed:
+        store.apply(0, full_changes(s, d))
+    return search.counted(Reader(store).rows(query), query)
+
+
+INDEXED, NOT_FOUND = replace(parse("gizmo brand-1"), limit=40), replace(parse("qqqzzz"), limit=5)
+register("reader_search", lambda s, d: read(s, d, INDEXED, False), search_sql(duck("files_part"), INDEXED))
+register("reader_search_changed", lambda s, d: read(s, d, OVER, True), search_sql(LIVE, OVER))
+register("reader_no_hit", lambda s, d: read(s, d, NOT_FOUND, True), search_sql(LIVE, NOT_FOUND))
+register("reader_short_term", lambda s, d: read(s, d, replace(parse("re"), limit=10), False), search_sql(duck("files_part"), replace(parse("re"), limit=10)))
+
+
+def published(s: SparkSession, d: str) -> DataFrame:
+    """Some lanes failed: what the others found is published. Then all fail: the catalog stays."""
+    store = new_store(s)
+    store.publish(load(s, d, "files_part").filter("source <> 2"), 3, 1)
+    store.publish(load(s, d, "files_part"), 3, 3)
+    return store.files()
+
+
+register("store_publish", published, f"select * from ({duck('files_part')}) p where source <> 2")
+
+
+def statistics(s: SparkSession, d: str) -> DataFrame:
+    store = new_store(s)
+    store.build(load(s, d, "files_part"))
+    got = store.status()
+    return s.createDataFrame([(got["records"], got["trigrams"], got["blocks"] > 0 and got["build_ms"] > 0 and got["bytes"] > 0, got["store"])], "records long, trigrams long, measured boolean, store string")
+
+
+register("index_statistics", statistics, f"select (select count(*) from ({duck('files_part')}) p) as records, (select count(distinct gram) from ({GRAMS} from ({duck('files_part')}) p) g) as trigrams, true as measured, 'base' as store")
+
+
+def asked(s: SparkSession, d: str) -> Reader:
+    store = new_store(s)
+    store.build(load(s, d, "files_part"))
+    return Reader(store)
+
+
+def line_answers(s: SparkSession, d: str) -> DataFrame:
+    out = io.StringIO()
+    serve.line_server(asked(s, d), [json.dumps({"query": "red brand-1", "limit": 7, "metadata": True, "scopes": ["/parts"]}), json.dumps({"query": "x", "scopes": ["relative"]})], out)
+    first, second = map(json.loads, out.getvalue().splitlines())
+    return s.createDataFrame([(i, p, r["kind"], r["size"], first["matched"], first["returned"], "error" in second) for i, (p, r) in enumerate(zip(first["paths"], first["records"], strict=True), 1)], "place long, path string, kind string, size long, matched long, returned long, refused boolean")
+
+
+def tool_answers(s: SparkSession, d: str) -> DataFrame:
+    reply = serve.Tools(asked(s, d), ["/parts/Brand-1", "/parts/Brand-11"]).handle({"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": "search", "arguments": {"query": "red", "limit": 9}}})
+    found = reply["result"]["structuredContent"]
+    return s.createDataFrame([(i, p, found["matched"], found["returned"]) for i, p in enumerate(found["paths"], 1)], "place long, path string, matched long, returned long")
+
+
+SERVED = "row_number() over (order by score desc, mtime desc, path, native_id, source)"
+LINE, TOOL = replace(parse("red brand-1"), limit=7, scope_roots=("/parts",), scope_case_sensitive=True), replace(parse("red"), limit=9, scope_roots=("/parts/Brand-1", "/parts/Brand-11"), scope_case_sensitive=True)
+register("serve_lines", line_answers, f"select {SERVED} as place, path, lower(kind) as kind, size, matched, count(*) over () as returned, true as refused from ({search_sql(duck('files_part'), LINE)}) h")
+register("serve_tools", tool_answers, f"select {SERVED} as place, path, matched, count(*) over () as returned from ({search_sql(duck('files_part'), TOOL)}) h")
+
+# bounds of requests, roots and limits
+
+LIMITS = [None, -5, 0, 1, 50, 999, 1000, 1001, 1 << 40]
+register("serve_limits", lambda s, d: s.createDataFrame([(v, serve.clamped(v)) for v in LIMITS], "asked long, given long"), f"select asked, cast(greatest(1, least(1000, coalesce(asked, 50))) as bigint) as given from {values([(v,) for v in LIMITS], 'asked')} t")
+REQUESTS = [(limit, terms, roots, root, size) for limit in (0, 1, 10_000, 10_001) for terms, size in ((0, 1), (32, 3), (33, 3), (2, 40_000)) for roots, root in ((0, "/"), (1, "/a"), (32, "C:/x"), (33, "/a"), (1, "rel"))]
+
+
+def valid(limit: int, terms: int, roots: int, root: str, size: int) -> bool:
+    try:
+        validate(Query(terms=("x" * size,) * terms, limit=limit, scope_roots=(root,) * roots))
+    except ValueError:
+        return False
+    return True
+
+
+register("request_bounds", lambda s, d: s.createDataFrame([(*r, valid(*r)) for r in REQUESTS], "n long, terms long, roots long, root string, size long, ok boolean"),
+         f"select *, n between 1 and {MAX_RESULTS} and terms <= {MAX_TERMS} and roots <= {MAX_ROOTS} and (roots = 0 or regexp_matches(root, '^(/|[A-Za-z]:/)')) and terms * size + roots * strlen(root) <= {MAX_TEXT_BYTES} as ok from {values(REQUESTS, 'n, terms, roots, root, size')} t")
+SCAN_ROOTS = ["/mnt/a", "/mnt/a/", "/mnt", "/mnt/ab", "/mnt/../etc", "/mnt/./x", "rel", "/mntx", "/", "/mnt/a/b.c", "C:/mnt"]
+
+
+def root_ok(root: str) -> bool:
+    try:
+        return mounts.validate_roots([root], ["/mnt"]) == [root]
+    except ValueError:
+        return False
+
+
+register("scan_root_bounds", lambda s, d: s.createDataFrame([(r, root_ok(r)) for r in SCAN_ROOTS], "root string, ok boolean"),
+         f"select root, starts_with(root, '/') and not regexp_matches(root, '(^|/)[.]{{1,2}}(/|$)') and (rtrim(root, '/') = '/mnt' or starts_with(root, '/mnt/')) as ok from {values([(r,) for r in SCAN_ROOTS], 'root')} t")
+SETTINGS = ["/b/", "/a", "relative", "C:\\x\\", "/a/", "/", "\\\\srv\\share", "a/b", "/b"]
+register("settings_roots", lambda s, d: s.createDataFrame([(r,) for r in view.settings_roots(SETTINGS)], "root string"),
+         f"select distinct case when rtrim(replace(v, '\\', '/'), '/') = '' then '/' else rtrim(replace(v, '\\', '/'), '/') end as root from {values([(v,) for v in SETTINGS], 'v')} t where regexp_matches(v, '^(/|[A-Za-z]:[/\\\\]|\\\\\\\\)')")
+DEVICE = ["//?/C:/Users/x/", "//./pipe/a", "//?/UNC/srv/share/f", r"\\?\D:\data\\y", "/a//b/", "C:/", "//srv//share/", "/", "c:\\"]
+PLAIN_P = "case when starts_with(q, '//?/UNC/') then '//' || substr(q, 9) when starts_with(q, '//?/') or starts_with(q, '//./') then substr(q, 5) else q end"
+register("fn_client_text", lambda s, d: s.createDataFrame([(v,) for v in DEVICE], "v string").unionByName(odd(s, d).select(F.col("path").alias("v"))).select("v", paths.client_text("v").alias("value")),
+         f"select v, case when length(r) > 3 then regexp_replace(r, '/+$', '') else r end as value from (select v, case when starts_with(u, '//') then '/' else '' end || regexp_replace(u, '/+', '/', 'g') as r from (select v, {PLAIN_P} as u from (select v, replace(v, '\\', '/') as q from (select * from {values([(v,) for v in DEVICE], 'v')} a union all select path from ({ODD_ALL}) o) b) c) e) f")
+register("mount_lookup", lambda s, d: mounts.looked_up(mounted(s), "/mnt/my disk//"), f"select * from {MOUNT_SQL} m where mountpoint = '/mnt/my disk'")
+
+# scans from native bytes
+
+MOVED = "select case id when 5 then {0} else id end as id, case parent when 5 then {0} else parent end as parent, parent_seq, sequence, name, is_dir, size from ({1}) t0"
+ROW = "path, size, {mtime} as mtime, cast({mode} as bigint) as mode, case when is_dir then 'Dir' else 'File' end as kind, '{fs}' as fs, id as native_id, parent as native_parent, cast(0 as bigint) as source"
+
+
+def moved(s: SparkSession, d: str, root: int) -> DataFrame:
+    return tree(s, d).withColumn("parent", F.when(F.col("parent") == 5, F.lit(root).cast("long")).otherwise(F.col("parent")))
+
+
+MODE = "case when is_dir then 16877 else 33188 end"
+register("scan_btrfs", lambda s, d: native.scan("btrfs", {"items": native.sharded(tree_items(moved(s, d, 256), 256), 100_000_000, 1).drop("shard")}, "/vol"),
+         f"select {ROW.format(mtime='id + 7', mode=MODE, fs='btrfs')} from (select id, parent, '/vol' || path as path, is_dir, size from ({walk_sql(MOVED.format(256, TREE), 256)}) w union all select 256, 0, '/vol', true, 0) x")
+
+
+def ext_tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    t = moved(s, d, 2)
+    kinds = F.when(F.col("is_dir"), 0o040755).otherwise(0o100644).cast("long")
+    inodes = t.select("id", kinds.alias("mode"), F.when(F.col("id") % 7 == 0, F.when(F.col("is_dir"), 2).otherwise(0)).otherwise(1).cast("long").alias("links"), (F.col("size") % (1 << 32)).alias("size_low"), (F.col("size") % 3).alias("size_high"), (F.col("id") + 1).alias("mtime"))
+    entries = t.select("parent", "id", "name", F.col("id").alias("ord"))
+    dots = t.filter("is_dir").select(F.col("id").alias("parent"), F.col("parent").alias("id"), F.lit("..").alias("name"), F.lit(0).cast("long").alias("ord"))
+    own = t.filter("is_dir").select(F.col("id").alias("parent"), "id", F.explode(F.array(F.lit("."), F.lit(""))).alias("name"), F.lit(1).cast("long").alias("ord"))
+    return {"inodes": inodes, "entries": entries.unionByName(dots).unionByName(own)}
+
+
+register("scan_ext", lambda s, d: native.scan("ext4", ext_tables(s, d), "/disk"),
+         f"select {ROW.format(mtime='id + 1', mode=MODE, fs='ext4')} from (select w.id, w.parent, '/disk' || w.path as path, w.is_dir, case when w.is_dir then w.size else w.size + (w.size % 3) * 4294967296 end as size from ({walk_sql(MOVED.format(2, TREE), 2)}) w where w.is_dir or w.id % 7 <> 0) x")
+register("scan_ntfs", lambda s, d: native.scan("ntfs", {"records": table_records(tree(s, d))}, "D:\\"), f"select 'D:' || path as path, size, cast(1700000000 as bigint) as mtime, cast(0 as bigint) as mode, case when is_dir then 'Dir' else 'File' end as kind, 'ntfs' as fs, id as native_id, parent as native_parent, cast(0 as bigint) as source from ({walk_sql(TREE, 5, SEQUENCE)}) w")
+register("scan_listed", lambda s, d: native.listed_files(load(s, d, "files_docs").filter("native_id % 3 <> 0").select("path"), load(s, d, "files_docs").filter("native_id % 2 = 0").select("path", "size", "mtime", "mode"), "apfs"),
+         f"select path, size, mtime, mode, 'File' as kind, 'apfs' as fs, cast(0 as bigint) as native_id, cast(0 as bigint) as native_parent, cast(0 as bigint) as source from ({duck('files_docs')}) p where native_id % 6 in (2, 4)")
+
+# events
+
+
+register("event_buffers", lambda s, d: kernel.parse(event_buffers(events(s, d))).select("seq", F.array_join("mask", "|").alias("masks"), "role", "name", F.hex("handle").alias("handle")),
+         f"select seq, case op when 'Remove' then 'DELETE' else 'CLOSE_WRITE|CREATE' end as masks, 'Current' as role, split_part(path, '/', -1) as name, '0800000000000000' || string_agg(lpad(upper(to_hex((seq >> (8 * i)) & 255)), 2, '0'), '' order by i) as handle from ({duck('changes_events')}) c, range(8) r(i) group by seq, op, path")
+
+
+def followed(s: SparkSession, d: str) -> tuple[Store, list[dict]]:
+    """Raw events in files, applied as a stream of two files a batch."""
+    store = new_store(s)
+    store.build(load(s, d, "files_part"))
+    c = full_changes(s, d)
+    raw = c.select("*", F.when(F.col("op") == "Remove", F.array(F.lit("DELETE"))).otherwise(F.array(F.lit("CLOSE_WRITE"), F.lit("CREATE"))).alias("mask"), F.lit("Current").alias("role"), F.lit(True).alias("named"), (F.col("op") == "Upsert").alias("present"))
+    raw.drop("op", "batch_id").repartitionByRange(4, "seq").sortWithinPartitions("seq").write.parquet(f"{store.root}-in")
+    query = stream.follow_events(stream.read_events(s, f"{store.root}-in", 2), store, f"{store.root}-progress")
+    query.awaitTermination()
+    return store, stream.progress(query)
+
+
+register("stream_follow_events", lambda s, d: followed(s, d)[0].files(), LIVE)
+register("stream_progress", lambda s, d: s.createDataFrame([(sum(p["rows"] for p in followed(s, d)[1]),)], "events long"), f"select count(*) as events from ({duck('changes_events')}) c")

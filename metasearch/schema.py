@@ -22,7 +22,7 @@ LINK_SCHEMA = _schema("parent:l id:l name:s")
 FILE_COLUMNS = FILE_SCHEMA.fieldNames()
 #: Stored beside the columns above: paths.key(path).
 KEY = "path_key"
-STORED_SCHEMA = StructType([*FILE_SCHEMA.fields, StructField(KEY, StringType(), True)])
+STORED_SCHEMA = StructType([*FILE_SCHEMA.fields, StructField(KEY, StringType(), True), StructField("block_id", LongType(), True)])
 
 #: Values of fields that a source doesn't give.
 DEFAULTS = {"size": 0, "mtime": 0, "mode": 0, "kind": "File", "fs": "ext4", "native_id": 0, "native_parent": 0, "source": 0}

@@ -15,9 +15,11 @@ from typing import TextIO
 from pyspark.sql import SparkSession
 
 from metasearch.operators import search, view
-from metasearch.plans.query import Query, absolute, parse
+from metasearch.plans.query import Query, absolute, parse, validate
 from metasearch.render import check_size
+from metasearch.sources import mounts, native
 from metasearch.store import Reader, Store
+from metasearch.streaming import changes
 
 DEFAULT, MOST = 50, 1000
 
@@ -29,7 +31,7 @@ def clamped(limit: int | None) -> int:
 def answer(reader: Reader, query: Query, metadata: bool) -> dict:
     """{paths, matched, returned, search_us, records?}"""
     began = time.perf_counter()
-    hits, seen = search.search(reader.files(), query)
+    hits, seen = search.search(reader.rows(query), query)
     rows = hits.collect()  # at most the query's limit
     matched = seen.get["matched"]
     found = {"paths": [r["path"] for r in rows], "matched": matched, "returned": len(rows), "search_us": int((time.perf_counter() - began) * 1e6)}
@@ -41,7 +43,7 @@ def answer(reader: Reader, query: Query, metadata: bool) -> dict:
 def request_query(text: str, limit: int | None, scopes: list[str], case_sensitive: bool = True) -> Query:
     if not all(map(absolute, scopes)):
         raise ValueError("scopes must be absolute")
-    return replace(parse(text), limit=clamped(limit)).within(scopes, case_sensitive)
+    return validate(replace(parse(text), limit=clamped(limit)).within(scopes, case_sensitive))
 
 
 def line_server(reader: Reader, lines: Iterable[str], out: TextIO) -> None:
@@ -77,7 +79,7 @@ class Tools:
         if name == "search":
             query = request_query(args.get("query", ""), args.get("limit"), self.roots)
             try:
-                hits, seen = search.search(self.reader.files(), query)
+                hits, seen = search.search(self.reader.rows(query), query)
                 rows = hits.filter(view.allowed("path", self.roots)).collect()
             except Exception as error:  # noqa: BLE001
                 return {"isError": True, "content": [{"type": "text", "text": f"search failed: {str(error).splitlines()[0]}"}]}
@@ -114,7 +116,7 @@ class Tools:
 def main(argv: list[str] | None = None, out: TextIO = sys.stdout, lines: Iterable[str] = sys.stdin, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="metasearch")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, help_ in (("search", "search once"), ("serve", "answer requests, one a line"), ("tools", "answer JSON-RPC, one a line"), ("index", "build from a Parquet table of files"), ("status", "show the catalog's state"), ("compact", "merge changes into a new base")):
+    for name, help_ in (("search", "search once"), ("serve", "answer requests, one a line"), ("tools", "answer JSON-RPC, one a line"), ("index", "build from a Parquet table of files"), ("status", "show the catalog's state"), ("compact", "merge changes into a new base"), ("scan", "build from the tables of a filesystem"), ("watch", "apply a folder of event files")):
         c = commands.add_parser(name, help=help_)
         c.add_argument("--store", required=True)
         if name == "search":
@@ -125,6 +127,15 @@ def main(argv: list[str] | None = None, out: TextIO = sys.stdout, lines: Iterabl
             c.add_argument("--json-paths", action="store_true")
         if name == "index":
             c.add_argument("table")
+        if name == "scan":
+            c.add_argument("--fs", required=True)
+            c.add_argument("--prefix", default="")
+            c.add_argument("--root", action="append", default=[])
+            c.add_argument("--table", action="append", default=[], metavar="NAME=PARQUET", help="items (btrfs), inodes and entries (ext4), records (ntfs)")
+            c.add_argument("--image", help="a volume that all executors see (ntfs)")
+        if name == "watch":
+            c.add_argument("--events", required=True)
+            c.add_argument("--progress", required=True)
     args = parser.parse_args(argv)
     spark = spark or SparkSession.builder.appName("metasearch").getOrCreate()
     store = Store(spark, args.store)
@@ -143,6 +154,19 @@ def main(argv: list[str] | None = None, out: TextIO = sys.stdout, lines: Iterabl
     elif args.command == "index":
         m = store.build(spark.read.parquet(args.table))
         out.write(f"generation {m.generation}: {m.records} records\n")
+    elif args.command == "scan":
+        tables = {name: spark.read.parquet(path) for name, path in (t.split("=", 1) for t in args.table)}
+        if args.image:
+            tables["records"] = native.image_records(spark, args.image)
+        files = native.scan(args.fs, tables, args.prefix)
+        mountpoint = args.prefix or "/"
+        roots = mounts.validate_roots(args.root, [mountpoint]) if args.root else []
+        m = store.build(mounts.scanned(files, mountpoint, roots) if roots else files.filter(~mounts.excluded("path", mountpoint)))
+        out.write(f"generation {m.generation}: {m.records} records\n")
+    elif args.command == "watch":
+        query = changes.follow_events(changes.read_events(spark, args.events), store, args.progress)
+        query.awaitTermination()
+        out.write("".join(f"batch {p['batch']}: {p['rows']} events\n" for p in changes.progress(query)))
     elif args.command == "compact":
         m = store.compact()
         out.write(f"generation {m.generation}: {m.records} records\n")

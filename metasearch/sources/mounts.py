@@ -10,8 +10,8 @@ from metasearch.plans.compile import some
 from metasearch.plans.query import absolute
 
 MAX_MOUNTS = 32
-#: Readers by label. Other labels can't be scanned here.
-LANES = {"btrfs": "btrfs_items", "ext4": "ext_inodes", "ntfs": "ntfs_records"}
+#: Readers (in native.LANES) by label. Other labels can't be scanned here.
+LANES = {"btrfs": "btrfs_files", "ext4": "ext_files", "ntfs": "ntfs_files"}
 
 
 def lane(label: str) -> str:
@@ -70,8 +70,21 @@ def scanned(files: DataFrame, mountpoint: str, roots: list[str]) -> DataFrame:
     return files.filter(~excluded("path", mountpoint) & (some([paths.in_root("path", r) for r in roots]) if roots else F.lit(False)))
 
 
-def scanned_by(files: DataFrame, roots: DataFrame) -> DataFrame:
-    """The same for a table of roots of any length: paths meet the roots among their ancestors by equality."""
+def looked_up(mounts: DataFrame, mountpoint: str) -> DataFrame:
+    """The mount table's rows of one mountpoint, however it is written."""
+    return mounts.filter(paths.normalize("mountpoint") == paths.normalize(F.lit(mountpoint)))
+
+
+#: Roots that are looked up in a literal map; more meet the paths in a join.
+FEW_ROOTS = 10_000
+
+
+def scanned_by(files: DataFrame, roots: DataFrame, few: int = FEW_ROOTS) -> DataFrame:
+    """The same for a table of roots of any length. Up to ``few`` distinct roots stand in the plan, and a row stays if one of its ancestors
+    is among them: one narrow pass. More meet the paths' ancestors by equality."""
+    some_ = [r["root"] for r in roots.select(paths.normalize("root").alias("root")).distinct().limit(few + 1).collect()]
+    if len(some_) <= few:
+        return files.filter(F.arrays_overlap(paths.ancestors("path"), F.array(*map(F.lit, some_)).cast("array<string>")))
     ways = files.select("path", F.explode(paths.ancestors("path")).alias("_way"))
     inside = ways.join(roots.select(paths.normalize("root").alias("_way")).distinct(), "_way", "left_semi").select("path").distinct()
     return files.join(inside, "path", "left_semi").select(*files.columns)

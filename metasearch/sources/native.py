@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from metasearch.functions.labels import mode_kind
 from metasearch.operators import namespace
 from metasearch.schema import as_files
+from metasearch.sources import mounts
 
 #: Item types of inodes and of their links.
 INODE_ITEM, INODE_REF, INODE_EXTREF = 1, 12, 13
@@ -69,8 +70,14 @@ def shard_ranges(width: int = 8_000_000, n: int = 16) -> list[tuple[int, int]]:
 
 
 def sharded(items: DataFrame, width: int = 8_000_000, n: int = 16) -> DataFrame:
-    """The items with their shard, dealt out by object id."""
-    return items.withColumn("shard", F.least(F.floor(F.col("objectid") / width), F.lit(n)).cast("int")).repartitionByRange("objectid")
+    """The items with their shard (of shard_ranges), one shard a task."""
+    rows = items.withColumn("shard", F.least(F.floor(F.col("objectid") / width), F.lit(n)).cast("int"))
+    return rows.repartitionById(n + 1, F.col("shard"))
+
+
+def shard(items: DataFrame, first: int, last: int) -> DataFrame:
+    """The items of one range of object ids; over a stored table the range reaches the scan."""
+    return items.filter((F.col("objectid") >= first) & (F.col("objectid") <= min(last, (1 << 63) - 1)))
 
 
 def next_key(key: tuple[int, int, int]) -> tuple[int, int, int] | None:
@@ -285,3 +292,16 @@ def image_records(spark: SparkSession, path: str, per_task: int = 4096) -> DataF
 
     starts = spark.range(0, total, per_task).withColumnRenamed("id", "start")
     return starts.mapInArrow(run, "number bigint, data binary")
+
+
+#: From the tables of a scan (by name) to file records, by the reader's name.
+LANES = {
+    "btrfs_files": lambda tables, prefix: btrfs_files(tables["items"], prefix or "/"),
+    "ext_files": lambda tables, prefix: ext_files(tables["inodes"], tables["entries"], prefix),
+    "ntfs_files": lambda tables, prefix: ntfs_files(parse_records(tables["records"]), prefix),
+}
+
+
+def scan(label: str, tables: dict[str, DataFrame], prefix: str = "") -> DataFrame:
+    """File records of one filesystem by its label, from its tables: items (btrfs), inodes and entries (ext4), records (ntfs)."""
+    return LANES[mounts.lane(label)](tables, prefix)

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from metasearch.operators import overlay
 from metasearch.schema import CHANGE_SCHEMA
-from metasearch.store import Store
+from metasearch.store import LockedError, Store
 
 #: Event types in an event's ``mask`` (array of strings).
 REMOVES, UPSERTS = ["DELETE", "MOVED_FROM"], ["CREATE", "MOVED_TO", "ATTRIB", "CLOSE_WRITE", "RENAME"]
@@ -56,19 +56,25 @@ def batch_changes(events: DataFrame) -> DataFrame:
 def follow(stream: DataFrame, store: Store, checkpoint: str, compact_bytes: int | None = None, available_now: bool = True) -> StreamingQuery:
     """Apply a stream of changes (CHANGE_SCHEMA) to the store, each micro-batch once, whatever is replayed.
 
-    ``seq`` carries the order. A failed batch marks the catalog stale, and the query ends.
+    ``seq`` carries the order; a micro-batch may have any size. A failed batch marks the catalog stale, and the query ends; one that another writer
+    keeps out only ends the query, and is applied by the next run.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read once, looked at and then written
         try:
             if compact_bytes is not None and store.needs_compaction(compact_bytes):
                 store.compact()
-            store.apply(batch_id, overlay.validate_changes(batch))
+            store.apply(batch_id, overlay.validate_changes(batch, None))
             if compact_bytes is not None and store.needs_compaction(compact_bytes):
                 store.compact()
+        except LockedError:
+            raise
         except Exception as error:
             store.mark_stale(str(error)[:500])
             raise
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -78,11 +84,15 @@ def follow_events(stream: DataFrame, store: Store, checkpoint: str, atomic_renam
     """The same from raw events: a batch that can't be applied marks the catalog stale and ends the query."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        reason = rescan_reason(batch, atomic_rename)
-        if reason:
-            store.mark_stale(reason)
-            raise RuntimeError(reason)
-        store.apply(batch_id, batch_changes(batch))
+        batch = batch.persist()
+        try:
+            reason = rescan_reason(batch, atomic_rename)
+            if reason:
+                store.mark_stale(reason)
+                raise RuntimeError(reason)
+            store.apply(batch_id, overlay.validate_changes(batch_changes(batch), None))
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -92,6 +102,15 @@ def read_changes(spark, path: str, files_per_batch: int = 1) -> DataFrame:  # no
     return spark.readStream.schema(CHANGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+#: A stream of events, as event_changes() takes them.
+EVENT_DDL = "seq bigint, mask array<string>, role string, named boolean, present boolean, path string, size bigint, mtime bigint, mode bigint, kind string, fs string, native_id bigint, native_parent bigint, source bigint"
+
+
+def read_events(spark, path: str, files_per_batch: int = 1) -> DataFrame:  # noqa: ANN001
+    """A stream of Parquet event files."""
+    return spark.readStream.schema(EVENT_DDL).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
 def progress(query: StreamingQuery) -> list[dict]:
     """Batches and rows so far."""
     return [{"batch": p["batchId"], "rows": p["numInputRows"]} for p in query.recentProgress]

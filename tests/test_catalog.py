@@ -2,16 +2,19 @@
 
 import io
 import json
+import os
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from metasearch import serve
-from metasearch.operators import hierarchy, namespace, overlay
+from metasearch.operators import hierarchy, namespace, overlay, search
+from metasearch.plans.query import parse
 from metasearch.schema import CHANGE_SCHEMA, as_files
 from metasearch.sources import mounts, text
-from metasearch.store import Reader, StaleError, Store
+from metasearch.store import DamagedError, LockedError, Reader, StaleError, Store
 from metasearch.streaming import changes as stream
 
 
@@ -125,6 +128,129 @@ def test_writer_lock_and_publication(spark, store):
     assert store.publish(files(spark, BASE[:1]), 2, 1).records == 1
 
 
+def test_a_second_writer_is_kept_out(spark, store, tmp_path):
+    store.build(files(spark, BASE))
+    other = type(store)(spark, store.root)
+    assert other.lock()
+    for step in (lambda: store.build(files(spark, BASE)), lambda: store.apply(0, changes(spark, CHANGES)), store.compact):
+        with pytest.raises(LockedError):
+            step()
+    assert paths_of(store.files()) == sorted(p for p, _ in BASE)  # readers go on
+    changes(spark, CHANGES[:2]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    follow = lambda: stream.follow(stream.read_changes(spark, str(tmp_path / "in")), store, str(tmp_path / "progress")).awaitTermination()
+    with pytest.raises(PySparkException):
+        follow()
+    other.unlock()
+    follow()  # the batch that was kept out comes again; the catalog isn't stale
+    assert store.manifest().changes == 2 and not store._exists("_LOCK")
+
+
+def test_damage_is_seen(spark, store):
+    """A file that is missing, cut or changed raises instead of answering less."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    store.build(files(spark, BASE))
+    store.apply(0, changes(spark, CHANGES[:2]))
+    assert store.files().count() > 0
+    for kind in ("base/g=1", "index/g=1", "changes/g=1/b=0"):
+        part = max(glob.glob(f"{store.root}/{kind}/*.parquet"), key=os.path.getsize)
+        with open(part, "rb") as f:
+            whole = f.read()
+        os.remove(part)
+        with pytest.raises(DamagedError):
+            store.files()
+        with open(part, "wb") as f:
+            f.write(whole[:-20])
+        with pytest.raises(DamagedError):
+            Reader(store).files()
+        with open(part, "wb") as f:
+            f.write(whole)
+    part = max(glob.glob(f"{store.root}/base/g=1/*.parquet"), key=os.path.getsize)
+    crc = f"{os.path.dirname(part)}/.{os.path.basename(part)}.crc"
+    if os.path.exists(crc):
+        os.remove(crc)
+    with open(part, "rb") as f:
+        data = bytearray(f.read())
+    at = pq.ParquetFile(part).metadata.row_group(0).column(0)
+    data[at.data_page_offset + at.total_compressed_size - 3] ^= 0xFF  # the size stays
+    with open(part, "wb") as f:
+        f.write(data)
+    with pytest.raises(Py4JJavaError, match="CRC checksum"):
+        store.base().collect()
+
+
+def test_late_batches_lie_on_top_after_a_compaction(spark, store):
+    store.build(files(spark, BASE))
+    store.apply(0, changes(spark, [(9, "Upsert", "/d/beta.rs", 90)]))
+    store.apply(1, changes(spark, [(5, "Upsert", "/d/beta.rs", 50)]))  # within a generation seq decides
+    assert {r["size"] for r in store.files().filter("path = '/d/beta.rs'").collect()} == {90}
+    store.compact()
+    store.apply(0, changes(spark, [(5, "Upsert", "/d/beta.rs", 51)]))  # after it, the batch
+    assert {r["size"] for r in store.files().filter("path = '/d/beta.rs'").collect()} == {51}
+
+
+def test_a_batch_of_100_000_changes(spark, store, tmp_path):
+    store.build(files(spark, BASE))
+    rows = spark.range(100_000).selectExpr("id as seq", "'Upsert' as op", "concat('/many/', id) as path", "id as size")
+    rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in CHANGE_SCHEMA]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream.follow(stream.read_changes(spark, str(tmp_path / "in")), store, str(tmp_path / "progress")).awaitTermination()
+    assert store.files().count() == 100_003 and store.manifest().batches == [0]
+    with pytest.raises(ValueError, match="more than"):
+        overlay.validate_changes(rows)
+
+
+def test_the_index_leaves_most_of_the_base_unread(spark, store):
+    """Rows that the scan puts out, with the index and without; the answers are the same, and changes are found as well."""
+    from metasearch.sources.generate import synthetic
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        store.build(synthetic(spark, 100_000))
+        query = parse(f"needle{99_999:08x}")
+
+        def scanned(df):
+            rows = search.matches(df, query)
+            found = sorted(r["path"] for r in rows.collect())
+            leaves = rows._jdf.queryExecution().executedPlan().collectLeaves()
+            return found, leaves.head().metrics().apply("numOutputRows").value()
+
+        reader = Reader(store)
+        with_index, read = scanned(reader.rows(query))
+        without, all_rows = scanned(reader.files())
+        assert with_index == without and len(with_index) == 1 and all_rows == 100_000 and read < 10_000, read
+        assert store.blocks(parse("ne")) is None and store.blocks(parse("qqqzzz")) == []
+        store.apply(0, changes(spark, [(1, "Upsert", f"/new/needle{99_999:08x}", 1), (2, "Remove", without[0], None)]))
+        assert [r["path"] for r in search.matches(reader.rows(query), query).collect()] == [f"/new/needle{99_999:08x}"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_block_ranges():
+    from metasearch.operators import trigram
+
+    assert trigram.block_ranges([7, 1, 2, 9, 30], 64) == [(1, 2), (7, 7), (9, 9), (30, 30)]
+    assert trigram.block_ranges([7, 1, 2, 9, 30], 2) == [(1, 9), (30, 30)] and trigram.block_ranges([], 2) == []
+
+
+def test_scan_and_watch(spark, store, tmp_path):
+    """From a filesystem's tables to records, from the command line; then a folder of event files."""
+    run = lambda *args: serve.main([*args, "--store", store.root], out := io.StringIO(), (), spark) or out.getvalue()
+    inodes = [(2, 0o040755, 3, 0, 0, 1), (11, 0o040755, 2, 0, 0, 1), (12, 0o100644, 1, 5, 1, 2)]
+    spark.createDataFrame(inodes, "id long, mode long, links long, size_low long, size_high long, mtime long").write.parquet(str(tmp_path / "inodes"))
+    spark.createDataFrame([(2, 11, "d", 1), (11, 12, "a", 2)], "parent long, id long, name string, ord long").write.parquet(str(tmp_path / "entries"))
+    assert "2 records" in run("scan", "--fs", "ext4", "--prefix", "/x", "--table", f"inodes={tmp_path}/inodes", "--table", f"entries={tmp_path}/entries")
+    assert "1 records" in run("scan", "--fs", "ext4", "--prefix", "/x", "--root", "/x/d/a", "--table", f"inodes={tmp_path}/inodes", "--table", f"entries={tmp_path}/entries")
+    with pytest.raises(ValueError):
+        run("scan", "--fs", "nfs")
+    spark.createDataFrame([(1, ["CREATE"], "Current", True, True, "/x/new", 7), (2, ["DELETE"], "Current", True, False, "/x/d/a", None)], "seq long, mask array<string>, role string, named boolean, present boolean, path string, size long").coalesce(1).write.parquet(str(tmp_path / "events"))
+    assert run("watch", "--events", str(tmp_path / "events"), "--progress", str(tmp_path / "p")) == "batch 0: 2 events\n"
+    assert [(r["path"], r["size"]) for r in store.files().collect()] == [("/x/new", 7)]
+
+
 def test_stream(spark, store, tmp_path):
     store.build(files(spark, BASE))
     for i in range(0, 5, 2):

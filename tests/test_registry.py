@@ -23,10 +23,6 @@ def test_rows_only(spark, sf):
         assert registry.QUERIES[name](spark, sf).count() >= 0
 
 
-def test_compaction_equals_overlay(spark, sf, duck):
-    assert compare(spark, duck, registry.QUERIES["store_compaction"], registry.SQL["overlay_live"], sf) is None
-
-
 def test_entry(spark):
     import __spark_entry__ as e
 
