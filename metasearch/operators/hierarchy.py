@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metasearch.functions import paths
@@ -47,6 +47,17 @@ def children(files: DataFrame) -> DataFrame:
     return steps.unionByName(own).distinct()
 
 
+def step_below(folder: str, parent: Column) -> Column:
+    """The folder right below ``folder`` on the way to ``parent`` (normalized); null if the way doesn't lead there. As ancestors_of has it."""
+    drive, share = r"^[A-Za-z]:/", r"^//[^/]+/[^/]+"
+    p = F.when(parent.startswith("/") | parent.rlike(drive), parent).otherwise(F.concat(F.lit("/"), parent))
+    if folder == "/":
+        first = F.concat(F.lit("/"), F.substring_index(F.substring(p, 2, 1 << 30), "/", 1))
+        return F.when(p.rlike(drive), F.substring(p, 1, 3)).when(p.startswith("//"), F.nullif(F.regexp_extract(p, share, 0), F.lit(""))).when(p != "/", first)
+    start = folder if folder.endswith("/") else folder + "/"
+    return F.when(p.startswith(start) & (p != start), F.concat(F.lit(start), F.substring_index(F.substring(p, len(start) + 1, 1 << 30), "/", 1)))
+
+
 def tiles(files: DataFrame, folder: str, most: int = TILES) -> DataFrame:
     """Child folders and direct files of one folder by bytes, the largest first; path settles ties.
 
@@ -57,9 +68,8 @@ def tiles(files: DataFrame, folder: str, most: int = TILES) -> DataFrame:
     # one row a parent first, so that folders, not files, look for their way down; directory rows name their own
     sums = rows.filter(~is_dir).groupBy("_parent").agg(F.sum(F.greatest("size", F.lit(1))).alias("bytes"), F.count(F.lit(1)).alias("count")).withColumn("_path", F.lit(None).cast("string"))
     none = rows.filter(is_dir).select("_parent", F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("count"), "_path")
-    way = paths.ancestors_of(F.col("_parent"))
-    below = F.coalesce(F.get(way, F.array_position(way, folder).cast("int")), F.when(F.col("_parent") == folder, F.col("_path")))
-    found = sums.unionByName(none).filter(F.array_contains(way, folder)).withColumn("path", below)
+    child = step_below(folder, F.col("_parent"))
+    found = sums.unionByName(none).withColumn("path", F.when(F.col("_parent") == folder, F.col("_path")).otherwise(child))
     if folder == "/":  # / is its own child if there is a row for it, and all is below it
         found = found.withColumn("path", F.explode(F.array("path", F.lit("/"))))
     found = found.filter("path is not null").groupBy("path").agg(F.sum("bytes").alias("bytes"), F.sum("count").alias("count"), F.max(F.coalesce(F.col("_path") == "/", F.lit(False))).alias("_root"))

@@ -7,6 +7,8 @@ once, at the end.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,15 +105,16 @@ def linked_paths(links: DataFrame, inodes: DataFrame, root: int = EXT_ROOT, pref
     links = links.filter(~F.col("name").isin("", ".", ".."))
     dirs = links.join(inodes.filter("is_dir").select("id"), "id", "left_semi")
     level = links.sparkSession.range(1).select(F.lit(root).cast("long").alias("id"), F.lit("").alias("dir"), F.array().cast("array<bigint>").alias("way"))
-    opened = level
+    levels = [level]
     while True:
+        opened = functools.reduce(DataFrame.unionByName, levels)
         step = dirs.withColumnRenamed("id", "child").join(level.withColumnRenamed("id", "at"), F.col("parent") == F.col("at"))
         step = step.select(F.col("child").alias("id"), paths.append_component(F.col("dir"), F.col("name")).alias("dir"), F.concat("way", F.array("ord")).alias("way"))
         first = step.groupBy("id").agg(F.min_by("dir", "way").alias("dir"), F.min("way").alias("way")).join(opened.select("id"), "id", "left_anti")
         level = cut(first)
         if level.isEmpty():
             break
-        opened = cut(opened.unionByName(level))
+        levels.append(level)
     folders = opened.select(F.col("id").alias("_p"), "dir")
     rows = links.join(folders, F.col("parent") == F.col("_p")).join(inodes.drop("parent", "name"), "id")
     return rows.withColumn("path", full_path(prefix, paths.append_component(F.col("dir"), F.col("name")))).drop("_p", "dir")

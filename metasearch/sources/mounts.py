@@ -75,16 +75,17 @@ def looked_up(mounts: DataFrame, mountpoint: str) -> DataFrame:
     return mounts.filter(paths.normalize("mountpoint") == paths.normalize(F.lit(mountpoint)))
 
 
-#: Roots that are looked up in a literal map; more meet the paths in a join.
-FEW_ROOTS = 10_000
+#: Roots that stand in the plan as prefixes; more meet the paths in a join.
+FEW_ROOTS = 256
 
 
 def scanned_by(files: DataFrame, roots: DataFrame, few: int = FEW_ROOTS) -> DataFrame:
-    """The same for a table of roots of any length. Up to ``few`` distinct roots stand in the plan, and a row stays if one of its ancestors
-    is among them: one narrow pass. More meet the paths' ancestors by equality."""
+    """The same for a table of roots of any length. Up to ``few`` distinct roots stand in the plan as prefixes: one narrow pass. More meet
+    the paths' ancestors by equality."""
     some_ = [r["root"] for r in roots.select(paths.normalize("root").alias("root")).distinct().limit(few + 1).collect()]
     if len(some_) <= few:
-        return files.filter(F.arrays_overlap(paths.ancestors("path"), F.array(*map(F.lit, some_)).cast("array<string>")))
+        path = paths.normalize("path")
+        return files.filter(some([F.lit(True) if r == "/" else (path == r) | path.startswith(r.rstrip("/") + "/") for r in some_]) if some_ else F.lit(False))
     ways = files.select("path", F.explode(paths.ancestors("path")).alias("_way"))
     inside = ways.join(roots.select(paths.normalize("root").alias("_way")).distinct(), "_way", "left_semi").select("path").distinct()
     return files.join(inside, "path", "left_semi").select(*files.columns)

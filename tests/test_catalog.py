@@ -300,6 +300,10 @@ def test_folders(spark):
     assert "//server" not in got
     child = {(r["parent"], r["child"]) for r in hierarchy.children(rows).collect()}
     assert {("/", "C:/"), ("/", "//server/share"), ("/", "/empty"), ("/", "/"), ("C:/", "C:/Users")} <= child
+    # the tiles of every folder have the roll-up's sums, of its children and of the files right in it
+    for folder in ("/", "C:/", "C:/Users", "//server/share", "/z", "/empty", "/nowhere"):
+        own = {r["path"]: (r["bytes"], r["count"]) for r in hierarchy.tiles(rows, folder).collect() if r["folder"]}
+        assert own == {c: (max(1, got[c][0]), got[c][1]) for p, c in child if p == folder}, folder
     tiles = [tuple(r) for r in hierarchy.tiles(rows, "/z").collect()]
     assert tiles == [("/z/.gitignore", ".gitignore", 3, 1, False, "gitignore"), ("/z/zero.LOG", "zero.LOG", 1, 1, False, "log")]
 
@@ -340,6 +344,14 @@ def test_mounts(spark):
         mounts.resolve(spark.createDataFrame([("/nowhere",)], "mountpoint string"), table)
 
 
+def test_many_roots_meet_the_paths_in_a_join(spark):
+    rows = files(spark, [("/a/b/c", 1), ("/a/bc", 2), ("/d/", 3), ("C:/x/y", 4), ("/z", 5)])
+    roots = spark.createDataFrame([("/a/b/",), ("/d",), ("C:/",), ("/nowhere",)], "root string")
+    want = ["/a/b/c", "/d/", "C:/x/y"]
+    assert paths_of(mounts.scanned_by(rows, roots)) == paths_of(mounts.scanned_by(rows, roots, few=1)) == want
+    assert mounts.scanned_by(rows, roots.limit(0)).count() == 0 and mounts.scanned_by(rows, spark.createDataFrame([("/",)], "root string")).count() == 5
+
+
 def test_servers(spark, store, tmp_path, monkeypatch):
     files(spark, BASE).write.parquet(str(tmp_path / "table"))
     run = lambda *args, lines=(): serve.main([*args], out := io.StringIO(), lines, spark) or out.getvalue()
