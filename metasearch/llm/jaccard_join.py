@@ -169,15 +169,16 @@ class Join:
         blocks = placed.groupBy(*key).agg(F.max("far").alias("far"))
         index = blocks.filter(F.col("at") <= F.col("n") - required(F.col("n"), F.col("n"), self.num, self.den)).select("token", *[F.col(c).alias(f"{c}2") for c in ("group", "leader", "n", "at", "far")])
         least = required(F.col("n"), F.col("n2"), self.num, self.den)
-        open_ = cut(blocks.join(index, "token").filter("group <> group2 and n2 <= n").filter(self.passes("n", "at", "n2", "at2")))
-        ab = F.least("leader", "leader2").alias("a"), F.greatest("leader", "leader2").alias("b")
-        known = self.overlaps(open_.select(*ab).distinct(), sets)
+        open_ = blocks.join(index, "token").filter("group <> group2 and n2 <= n").filter(self.passes("n", "at", "n2", "at2"))
+        ends = {"a": F.least("leader", "leader2"), "b": F.greatest("leader", "leader2"), "g": F.least("group", "group2"), "h": F.greatest("group", "group2")}
+        open_ = cut(open_.withColumns(ends))
+        # one row a pair of leaders, so that however many blocks two groups share, they meet as one
+        leaders = cut(open_.select(*ends).distinct())
+        known = self.overlaps(leaders.select("a", "b"), sets)
         first = self.linked(known).select("a", "b")
-        open_ = open_.withColumns({"a": ab[0], "b": ab[1]})
-        groups = F.least("group", "group2").alias("g"), F.greatest("group", "group2").alias("h")
-        done = open_.join(first, ["a", "b"]).select(*groups).distinct()
-        left_open = open_.join(known.select("a", "b", "both"), ["a", "b"]).filter(F.col("both") + F.col("far") + F.col("far2") >= least)
-        left_open = cut(left_open.withColumns({"g": groups[0], "h": groups[1]}).join(done, ["g", "h"], "left_anti").select(*key, "group2", "leader2", "n2", "at2", "both"))
+        done = leaders.join(first, ["a", "b"]).select("g", "h").distinct()
+        asked = leaders.join(done, ["g", "h"], "left_anti").join(known, ["a", "b"]).select("a", "b", "both")
+        left_open = cut(open_.join(asked, ["a", "b"]).filter(F.col("both") + F.col("far") + F.col("far2") >= least).select(*key, "group2", "leader2", "n2", "at2", "both"))
         left = placed.select(*key, F.col("node").alias("a"), F.col("far"))
         right = placed.select("token", *[F.col(c).alias(f"{c}2") for c in ("group", "leader", "n", "at", "far")], F.col("node").alias("b"))
         pairs = left_open.join(left, key).join(right, ["token", "group2", "leader2", "n2", "at2"]).filter(F.col("both") + F.col("far") + F.col("far2") >= least)
