@@ -137,7 +137,8 @@ class Join:
         """``pairs`` (a, b) with na, nb and both: the sizes and the overlap of their sets."""
         first = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
         second = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-        return cut(pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("both")))
+        # merged, not hashed: a leader that many sets have is a skewed key, which Spark splits in merge joins
+        return cut(pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("both")))
 
     def linked(self, overlaps: DataFrame) -> DataFrame:
         """Those that reach the threshold."""
