@@ -150,6 +150,7 @@ def frugal() -> None:
 
 def release() -> None:
     """Give freed memory back to the system, between batches and tasks of one Python worker."""
+    gc.enable()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

@@ -229,10 +229,10 @@ def encoded(docs: DataFrame, path: str, finish: Callable[[np.ndarray, bytes], tu
 
         yield from in_batches(rows(), schema, 2048)
 
-    # a block is its map task's number, times 2**24, and its number there
-    blocks = dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, ROWS_DDL).select("block", "data"), F.shiftright("block", 24) + F.col("block").bitwiseAND(F.lit((1 << 24) - 1)), tasks)
+    # dealt by block once: the join and the gathering of answers use the same partitions
+    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, ROWS_DDL).select("block", "data").repartition(tasks, "block")
     answers = dealt(blocks.mapInArrow(words_of, ROWS_DDL), "route", tasks).mapInArrow(encode, ROWS_DDL)
-    answers = answers.groupBy(F.col("block").alias("_block")).agg(F.collect_list("data").alias("answers"))
+    answers = answers.select(F.col("block").alias("_block"), "data").repartition(tasks, "_block").groupBy("_block").agg(F.collect_list("data").alias("answers"))
     return blocks.join(answers.hint("merge"), F.col("block") == F.col("_block"), "left").select("data", "answers").mapInArrow(place, ddl)
 
 
