@@ -402,3 +402,63 @@ def test_pipeline(spark, sf, tmp_path):
         assert after <= before and (docs.columns == columns or i == len(corpus_pipeline.STAGES) - 1)
     want = {x["doc_id"]: x["n_tokens"] for x in docs.collect()}
     assert {x["doc_id"]: x["n_tokens"] for x in corpus_pipeline.run(spark, sf).collect()} == want and len(want) > 50
+
+
+def survivors(rows, items, library):
+    """The pipeline by plain loops: (doc_id, ids, text) from (doc_id, text); ids are distinct or null."""
+    with open(quality_rules.default_model(), "rb") as f:
+        pieces = quality_rules.Pieces(f.read())
+    rows = [r for r in dict.fromkeys(rows) if quality_rules.measured(r[1], pieces, quality_rules.Rules())[6]]
+    order = lambda d: (d is None, d or 0)
+    folded = [decontamination.words_of(t) for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in folded]
+    group = list(range(len(rows)))
+    for _ in rows:  # labels flow along links until nothing changes
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if 5 * len(a & b) >= 4 * len(a | b) and a:
+                    group[i] = group[j] = min(group[i], group[j])
+    rows = [min((r for r, h in zip(rows, group, strict=True) if h == g), key=lambda r: order(r[0])) for g in dict.fromkeys(group)]
+    first = {}
+    least = lambda d: -1 if d is None else d
+    words = [(d, t, t.encode().split()) for d, t in rows]
+    for d, _, w in words:
+        for i in range(len(w) - 49):
+            g = tuple(w[i : i + 50])
+            first[g] = min(first.get(g, 1 << 60), least(d))
+    cut = []
+    for d, t, w in words:
+        gone = set()
+        for i in range(len(w) - 49):
+            if first[tuple(w[i : i + 50])] < least(d):
+                gone |= set(range(i, i + 50))
+        cut.append((d, b" ".join(x for i, x in enumerate(w) if i not in gone).decode() if gone else t))
+    cut = [(d, t) for d, t in cut if not brute_matches(t, items, 0.8)]
+    return sorted(((d, len(ids := library.encode(t, add_special_tokens=False).ids), tuple(ids), t) for d, t in cut), key=str)
+
+
+def test_pipeline_on_awkward_rows(spark, sf, awkward, library, tmp_path):
+    """Against plain loops: nulls, empty, very long and repeated texts, near copies, shared passages, benchmark items, null ids, odd columns; an empty table."""
+    import corpus_pipeline
+
+    r = random.Random(31)
+    base = [x["text"] for x in spark.read.parquet(f"{sf}/documents.parquet").limit(70).collect()]
+    plain = [t for t in base if t and len(t.split()) > 120]
+    items = [(k, " ".join(plain[k].split()[20:70])) for k in range(3)]
+    passage = " ".join(plain[5].split()[:60])
+    texts = [*base, *awkward, plain[6], plain[6].upper(), plain[7].replace(" ", "\n"), plain[8] + " " + passage, passage + "\n" + plain[9], plain[10] + " " + items[1][1], " ".join(plain * 40)[: 200_000].rsplit(" ", 1)[0]]
+    for t in plain[11:15]:
+        w = t.split()
+        w[r.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    rows = [*enumerate(texts), (2, texts[2]), (2, texts[2]), (None, plain[3] + " x"), (None, None)]
+    docs = table(spark, rows).withColumnRenamed("source", "my col").withColumn("item_id", F.lit(1))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*items, (77, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(((x["doc_id"], x["n_tokens"], tuple(x["ids"]), x["text"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str)
+    want = survivors([(d, t) for d, t in rows], items, library)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and got == want and len(got) > 30
+    (tmp_path / "none").mkdir()
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
